@@ -36,23 +36,20 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, "")
 
 
-def name_values(df: DataFrame, values: list[str], ident: str, carried: str) -> DataFrame:
-    """Integer names for equal ``values``: the smallest ``ident`` of the rows that share them.
+def name_values(df: DataFrame, values: list[str]) -> DataFrame:
+    """Integer names for equal ``values``: the identity of one of the rows that share them.
 
-    ``ident`` is a unique long. ``carried`` is a column that goes along; the result has ``carried``
-    and ``name``. Both uses of the sorted rows need the same columns, so that Spark makes one
-    exchange of the contents and reads it twice.
+    ``meta`` is an array of strings whose first item is the row's unique identity, a long; it goes along
+    whole, so that both uses of the sorted rows need the same columns and Spark makes a single exchange
+    of the contents, which is read twice. The result has ``meta`` and ``name``.
     """
     salts = shuffle_width(df.sparkSession)
-    salted = df.select(*values, ident, carried, F.pmod(F.xxhash64(ident), F.lit(salts)).alias("_salt"))
-    group = Window.partitionBy("_salt", *values)
-    # the smallest identity within a salted group; `carried` is kept alive in both branches
-    local = salted.withColumn("_local", F.min(F.struct(ident, carried)).over(group))
-    electors = local.filter(F.col(f"_local.{ident}") == F.col(ident)).select(*values, F.col(ident).alias("_local"))
-    elected = electors.groupBy(*values).agg(F.min("_local").alias("name"), F.collect_list("_local").alias("_members"))
-    names = elected.select("name", F.explode("_members").alias("_local"))
-    rows = local.select(carried, F.col(f"_local.{ident}").alias("_local"))
-    return rows.join(names, "_local").select(carried, "name")
+    salted = df.select(*values, "meta", F.pmod(F.xxhash64(F.col("meta")[0]), F.lit(salts)).alias("_salt"))
+    local = salted.withColumn("_elected", F.min("meta").over(Window.partitionBy("_salt", *values)))
+    electors = local.filter(F.col("_elected")[0] == F.col("meta")[0]).select(*values, F.col("meta")[0].cast("long").alias("_local"))
+    groups = electors.groupBy(*values).agg(F.min("_local").alias("name"), F.collect_list("_local").alias("_members"))  # at most `salts` members
+    names = groups.select("name", F.explode("_members").alias("_local"))
+    return local.select("meta", F.col("_elected")[0].cast("long").alias("_local")).join(names, "_local").select("meta", "name")
 
 
 def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -69,14 +66,15 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         "rid", "doc_id", "n_points", F.sha2("bytes", 256).alias("sha"), n_blocks.alias("n"),
         F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.substring(F.col("bytes"), i * block_bytes + 1, F.lit(block_bytes))).alias("blocks"),
     )
-    blocks = cut.select("rid", "doc_id", "n_points", "sha", "n", F.posexplode("blocks").alias("i", "block"))
+    blocks = cut.select("rid", "doc_id", "n_points", "sha", "n", F.posexplode_outer("blocks").alias("i", "block"))
     # What belongs to the document travels with its first block only, as strings in one column.
     first = lambda c: F.when(F.col("i") == 0, F.col(c).cast("string"))
     blocks = blocks.withColumn("bid", F.monotonically_increasing_id())
-    meta = F.array(F.col("rid").cast("string"), F.col("i").cast("string"), F.col("n").cast("string"), F.col("bid").cast("string"), first("doc_id"), first("n_points"), first("sha"))
-    named = name_values(blocks.select("bid", meta.alias("meta"), "block"), ["block"], "bid", "meta")
+    packed = lambda *names: F.array(*[F.col(c).cast("string") for c in names])
+    meta = F.concat(packed("bid", "rid", "i", "n"), F.array(first("doc_id"), first("n_points"), first("sha")))
+    named = name_values(blocks.select(meta.alias("meta"), "block"), ["block"])
     m = lambda k, t: F.col("meta")[k].cast(t)
-    level0 = durable(named.select(m(0, "long").alias("rid"), m(1, "int").alias("i"), m(2, "int").alias("n"), m(3, "long").alias("bid"), m(4, kind).alias("doc_id"), m(5, "int").alias("n_points"), F.col("meta")[6].alias("text_sha256"), "name"))
+    level0 = durable(named.select(m(0, "long").alias("bid"), m(1, "long").alias("rid"), m(2, "int").alias("i"), m(3, "int").alias("n"), m(4, kind).alias("doc_id"), m(5, "int").alias("n_points"), F.col("meta")[6].alias("text_sha256"), "name"))
 
     heads = level0.filter("i = 0").select("rid", "doc_id", "n_points", "text_sha256", "n", "name")
     current = level0.filter("n > 1").select("rid", "i", "n", "bid", "name")
@@ -91,9 +89,8 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             F.ceil(F.max("n") / 2).cast("int").alias("n"),
         )
-        whole = F.array(F.col("rid"), F.col("i").cast("long"), F.col("n").cast("long"), F.col("bid"))
-        named = name_values(pairs.select("bid", whole.alias("meta"), "left", "right"), ["left", "right"], "bid", "meta")
-        current = durable(named.select(m(0, "long").alias("rid"), m(1, "int").alias("i"), m(2, "int").alias("n"), m(3, "long").alias("bid"), "name"))
+        named = name_values(pairs.select(packed("bid", "rid", "i", "n").alias("meta"), "left", "right"), ["left", "right"])
+        current = durable(named.select(m(0, "long").alias("bid"), m(1, "long").alias("rid"), m(2, "int").alias("i"), m(3, "int").alias("n"), "name"))
         done = current.filter("n = 1").select("rid", F.lit(level).alias("_level"), F.col("name").alias("_name"))
         finished = done if finished is None else finished.unionByName(done)
         current = current.filter("n > 1")

@@ -124,8 +124,11 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = 7, leaf: int = LEAF, fan_
         F.struct("key", "doc_id", "size", ((F.col("rate") - F.floor("rate")) * F.col("size")).alias("mass")).alias("entry"),
     )
 
+    # Large documents first: what a node leaves open, and a source misses at last, is then a small one.
+    large_first = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("entry.size")).alias("order"), "entry"))), lambda d: d["entry"])
+
     def fold(entries: DataFrame) -> DataFrame:
-        nodes = entries.groupBy("source", "node").agg(*[F.first(c).alias(c) for c in of_source[1:]], F.sort_array(F.collect_list("entry")).alias("entries"))
+        nodes = entries.groupBy("source", "node").agg(*[F.first(c).alias(c) for c in of_source[1:]], large_first.alias("entries"))
         return durable(nodes.select(*of_source, "node", _fold(F.col("entries"), entry, seed).alias("fold")))
 
     level, parts, nodes = fold(entries), [], max(1, -(-most // leaf))
