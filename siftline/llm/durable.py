@@ -5,6 +5,14 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_KINDS = {"string": T.StringType, "long": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "boolean": T.BooleanType, "binary": T.BinaryType}
+
+
+def fields(spec: str) -> T.StructType:
+    """``"a long, b string"`` as a type; unlike a DDL string it needs no session, so functions can be declared at import."""
+    return T.StructType([T.StructField(name, _KINDS[kind]()) for name, kind in (x.split() for x in spec.split(", "))])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

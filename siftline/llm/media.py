@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import fields
+
 WIDTH = 576
 FILL = 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -158,7 +160,7 @@ def padded(data: bytes, width: int = WIDTH) -> bytes:
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-@F.pandas_udf(FEATURES)
+@F.pandas_udf(fields(FEATURES))
 def read_back(media: pd.Series) -> pd.DataFrame:
     """What each stored PNG gives when it is read."""
     out = []

@@ -31,6 +31,11 @@ BUCKETS = 1 << 18
 PREFIXES = (4, 5)
 GRADES = 4
 SEED = 5
+#: Only features whose shares in the two classes differ by so many standard errors get a weight, and
+#: only if so many sample documents have them: else the many ordinary words of a long text add up to noise.
+STANDARD_ERRORS = 4.5
+MIN_DOCS = 8
+DECAY = 1e-4
 #: Natural logarithm of the odds from which a word counts as marking the class.
 MARKED = 3.0
 
@@ -98,6 +103,20 @@ def severity_grades(offsets: np.ndarray, ids: np.ndarray, labels: np.ndarray) ->
     return np.where(labels == 1, 1 + (count > low) + (count > high), 0)
 
 
+def telling(offsets: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which features get a weight. Of near copies in the sample only one counts: else any word seems to mark a class."""
+    doc = np.repeat(np.arange(len(labels)), np.diff(offsets))
+    order = mix64(ids.astype(np.uint64))
+    signs = [tuple(np.partition(own, 2)[:3]) if len(own) > 2 else (k,) for k, own in enumerate(np.split(order, offsets[1:-1]))]
+    single = np.zeros(len(labels), bool)
+    single[list({s: k for k, s in enumerate(signs)}.values())] = True
+    n = [max(1, (single & (labels == k)).sum()) for k in (0, 1)]
+    hits = [np.bincount(ids[single[doc] & (labels[doc] == k)], minlength=2 * BUCKETS) for k in (0, 1)]
+    pooled = (hits[0] + hits[1] + 1) / (n[0] + n[1] + 2)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    return (np.abs(hits[1] / n[1] - hits[0] / n[0]) > STANDARD_ERRORS * error) & (hits[0] + hits[1] >= MIN_DOCS)
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = 12) -> Model:
     """Maximum likelihood by Adagrad over shuffled documents."""
     labels = np.asarray(labels, int)
@@ -105,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int =
         return Model(None, np.zeros(GRADES - 1))
     offsets, ids = features(texts)
     grades = severity_grades(offsets, ids, labels)
-    seen = np.bincount(ids, minlength=2 * BUCKETS)
+    useful = telling(offsets, ids, labels)
     weights, power = np.zeros(2 * BUCKETS), np.full(2 * BUCKETS, 1e-2)
     first, gaps, t_power = 1.0, np.zeros(GRADES - 2), np.full(GRADES - 1, 1e-2)
     rng = np.random.default_rng(seed)
@@ -124,15 +143,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int =
             slope = d_hi - d_lo  # of the loss by f
             grad = np.bincount(own, np.repeat(slope, size), 2 * BUCKETS)
             used = np.unique(own)
-            g = grad[used] / len(part) + 1e-4 * weights[used]
+            g = grad[used] / len(part) + DECAY * weights[used]
             power[used] += g * g
-            weights[used] -= 0.1 * g / np.sqrt(power[used])
+            weights[used] -= np.where(useful[used], 0.1 * g / np.sqrt(power[used]), 0.0)
             t_grad = np.array([-(d_hi[y == k].sum() - d_lo[y == k + 1].sum()) for k in range(GRADES - 1)]) / len(part)
             chain = np.array([t_grad.sum(), *[t_grad[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 2)]])
             t_power += chain * chain
             move = 0.1 * chain / np.sqrt(t_power)
             first, gaps = first - move[0], np.clip(gaps - move[1:], -5, 5)
-    weights[seen < 3] = 0.0  # words of one or two documents say nothing about others
     return Model(weights.astype(np.float32), first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
