@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, ngram_join, pii, quality, toxicity
+from . import exact_dedup, media, mixing, ngram_join, pii, quality, sentencepiece_lattice, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Public SentencePiece model; SIFTLINE_PIECES names another file.
+PIECES = os.environ.get("SIFTLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def piece_model() -> sentencepiece_lattice.Model:
+    with open(PIECES, "rb") as file:
+        return sentencepiece_lattice.Model.load(file.read())
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the encoding, and whether decoding gives the text back."""
+    model, docs = piece_model(), table(spark, sf_dir, "documents")
+    done = sentencepiece_lattice.encode(docs, model)
+    text = sentencepiece_lattice.decode(F.col("ids"), model, spark)
+    return done.select("doc_id", "n_bytes", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +73,7 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality": op3_quality,
     "op5_pii": op5_pii,
     "op6_media": op6_media,
