@@ -103,7 +103,7 @@ def document_names(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_points.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest
     ``doc_id``.
@@ -122,4 +122,5 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(True)).alias("kept"),
         "text_sha256",
+        "n_points",
     )

@@ -57,7 +57,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_points")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
