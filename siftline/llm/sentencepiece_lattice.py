@@ -23,7 +23,6 @@ repeat give equal results. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,19 +30,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import blocks, packed, unpacked
 from .durable import fields
 from .textnum import mix64
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 LONG_UNIT = 64
-#: Characters of text in a block of documents, and in one go of the cutting.
-BLOCK_CHARS, PIECE_CHARS = 16 << 20, 1 << 20
+#: Characters of text in one go of the cutting.
+PIECE_CHARS = 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -222,21 +221,6 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
-    """(block id, ids, texts): runs of rows; the id follows from the contents, so it is the same in each scan."""
-    for frame in frames:
-        texts, at = frame.column(1).to_pylist(), 0
-        while at < len(texts):
-            k, size = at, 0
-            while k < len(texts) and (k == at or size < BLOCK_CHARS):
-                size += len(texts[k] or "") + 1
-                k += 1
-            own = texts[at:k]
-            digest = hashlib.blake2b("\0".join(f"{len(t)},{t}" if t is not None else "-" for t in own).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            yield int.from_bytes(digest, "little", signed=True), frame.column(0).slice(at, k - at), own
-            at = k
-
-
 def _unit_hashes(model: Model, texts: list[str | None]) -> np.ndarray:
     parts = [np.unique(model.cut(texts[a:b])[2]) for a, b in _parts(texts)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
@@ -250,7 +234,7 @@ def _units(shared):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block, _, texts in _blocks(frames):
+        for block, _, texts in blocks(frames):
             found: dict[int, str] = {}
             hashes = []
             for a, b in _parts(texts):
@@ -268,16 +252,6 @@ def _units(shared):
     return run
 
 
-def _packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each block in one compressed row."""
-    for block, ids, texts in _blocks(frames):
-        table = pa.table({"doc_id": ids, "text": pa.array(texts, pa.string())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())], names=["block", "payload"])
-
-
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) for distinct units: the lattice and its fold."""
     spark = units.sparkSession
@@ -348,7 +322,6 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     places = units.groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("places"))
     known = encoded_units(places.select("unit"), model)
     back = places.join(known, "unit").select("ids", F.explode("places").alias("p")).select("p.block", "p.place", "ids")
-    packed = narrow.mapInArrow(_packed, "block long, payload binary")
     schema = T.StructType([T.StructField("doc_id", kind), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
@@ -366,7 +339,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         size = np.diff(offsets)
         parts = []
         for payload in texts["payload"].to_pylist():
-            table = pa.ipc.open_stream(zstandard.decompress(payload)).read_all()
+            table = unpacked(payload)
             own_texts = table["text"].to_pylist()
             order = _unit_hashes(model, own_texts)
             if len(order) != n_places or (where < 0).any():
@@ -391,7 +364,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
             }))
         return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
-    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
+    return packed(narrow).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def _with_bytes(model: Model, whole: str, starts: np.ndarray, ids: np.ndarray, ends: np.ndarray, at: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
