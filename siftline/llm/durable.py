@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles and checkpoints that nothing refers to any more, before more disk is used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session uses; widths of salts derive from it."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

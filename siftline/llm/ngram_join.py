@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .durable import durable, fields
+from .durable import durable, fields, release
 from .textnum import Words, batches, mix64
 
 N = 5
@@ -239,9 +239,9 @@ def incidence(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
 
 
 def _possible(a: str, b: str, least: int):
-    """Bounds on a pair from sizes (n) and numbers of shared columns (s)."""
+    """Bounds on a pair from sizes (n) and numbers of shared columns that are left (r)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & ((100 + least) * F.least(F.col(f"{a}.s"), F.col(f"{b}.s")) >= least * (n + m))
+    return (100 * F.least(n, m) >= least * F.greatest(n, m)) & ((100 + least) * F.least(F.col(f"{a}.r"), F.col(f"{b}.r")) >= least * (n + m))
 
 
 def _links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
@@ -255,17 +255,20 @@ def _links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
 def ngram_components(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     rows = incidence(docs, n, least)
+    release(docs.sparkSession)  # the shuffles of the incidence are not needed any more
     # Classes of equal sets. Keys are made anew after writing, so that later joins exchange both sides and hot classes can be split.
     classes = durable(rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first_doc")))
     classes = classes.select((F.col("n") + 0).alias("n"), (F.col("f1") + 0).alias("f1"), (F.col("f2") + 0).alias("f2"), "rep", "first_doc")
     able = rows.filter("shared is not null")
     prefix = able.select("rid", "n", "s", _prefix("shared", "k").alias("columns")).join(classes.select(F.col("rep").alias("rid")), "rid")
-    cells = durable(prefix.select("rid", "n", "s", F.explode("columns").alias("column")))
+    # A cell knows how many of its row's shared columns are left from here on: r bounds the overlap of two rows whose first common column it is.
+    cells = prefix.select("rid", "n", "s", F.posexplode("columns").alias("at", "column")).select("column", "rid", "n", (F.col("s") - F.col("at")).alias("r"), ((F.col("n") - F.col("s")) / F.col("n")).alias("own"))
+    cells = durable(cells)
 
-    # First with the column's first document only.
-    heads = durable(cells.groupBy("column").agg(F.min(F.struct("rid", "n", "s")).alias("p"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"))
+    # First with the column's most typical document only: the one with the least share of columns of its own.
+    heads = durable(cells.groupBy("column").agg(F.min(F.struct("own", "rid", "n", "r")).alias("p"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"))
     heads = heads.select((F.col("column") + 0).alias("column"), "p")
-    c = cells.select("column", F.struct("rid", "n", "s").alias("q"))
+    c = cells.select("column", F.struct("rid", "n", "r").alias("q"))
     first = c.join(heads, "column").filter("q.rid <> p.rid").filter(_possible("p", "q", least)).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
     links = _links(first, able, least)
     found = durable(components(links))
@@ -275,8 +278,8 @@ def ngram_components(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFra
     placed = durable(placed)
     mixed = durable(placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select((F.col("column") + 0).alias("column")))
     left = placed.join(mixed, "column")
-    p = left.select("column", F.struct("rid", "n", "s", "component").alias("p"))
-    q = left.select("column", F.struct("rid", "n", "s", "component").alias("q"))
+    p = left.select("column", F.struct("rid", "n", "r", "component").alias("p"))
+    q = left.select("column", F.struct("rid", "n", "r", "component").alias("q"))
     second = p.join(q, "column").filter("p.component < q.component").filter(_possible("p", "q", least)).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
     found = components(links.unionByName(_links(second, able, least)))
 
