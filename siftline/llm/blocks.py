@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 #: Characters of text in a block.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 6 << 20
 
 
 def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:

@@ -157,6 +157,11 @@ def _blocks(n: int, bits: int):
     return run
 
 
+def _magnitude(df: np.ndarray) -> np.ndarray:
+    """Counts by eighths of a doubling, in one byte: only the order from rare to frequent matters, and 1 stays 1."""
+    return np.where(df > 1, np.minimum(1 + np.floor(8 * np.log2(np.maximum(df, 1))), 255), 1).astype(np.uint8)
+
+
 def _count(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one column range: for each row block the columns that more than one document has."""
     if rows["key"].iloc[0] < 0:
@@ -171,7 +176,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.add.reduceat(times[order], start) if len(start) else np.zeros(0, np.int64)
     df = np.empty(len(hashes), np.int64)
     df[order] = np.repeat(total, np.diff(np.append(start, len(ordered))))
-    df = np.minimum(df, 65535).astype(np.uint16)
+    df = _magnitude(df)
     blocks, payloads, at, hot_at = [], [], 0, sum(map(len, cold))
     for block, c, part in zip(rows["block"], cold, parts, strict=True):
         d, e = df[at : at + len(c)], df[hot_at : hot_at + len(part[2])]
@@ -189,9 +194,9 @@ def _rows(least: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block = int(rows["block"].iloc[0])
         ids, known, n, f1, f2, hot, hot_doc = unpack(rows["payload"][rows["kind"] == 0].iloc[0], np.int64, np.uint8, np.int64, np.int64, np.int64, np.uint64, np.uint16)
-        hashes, docs, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
+        hashes, docs, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
         for p in rows["payload"][rows["kind"] == 1]:
-            planes, doc, df, hot_hash, hot_df = unpack(p, np.uint8, np.uint16, np.uint16, np.uint64, np.uint16)
+            planes, doc, df, hot_hash, hot_df = unpack(p, np.uint8, np.uint16, np.uint8, np.uint64, np.uint8)
             hashes.append(undeltas(planes))
             docs.append(doc)
             dfs.append(df)

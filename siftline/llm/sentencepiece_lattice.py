@@ -99,6 +99,12 @@ class Model:
         for b, k in enumerate(self.byte_ids):
             raw[k] = bytes([b])
         self.raw = raw
+        self.singles = np.full(0x110000, -1, np.int32)  # the one id of a character by itself
+        for b, k in enumerate(self.byte_ids[:128]):
+            self.singles[b] = k
+        for p, k in self.ids.items():
+            if len(p) == 1:
+                self.singles[ord(p)] = k
 
     @classmethod
     def load(cls, data: bytes) -> Model:
@@ -257,25 +263,36 @@ def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     spark = units.sparkSession
     rows = [(p, k, model.scores[k]) for p, k in model.ids.items()]
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]).astype({"id": "int32"}))
+    units = units.filter(F.char_length("unit") > 1)
     special = (F.char_length("unit") > LONG_UNIT) | (F.col("unit").contains(SPACE * 2) if model.kind == BPE else F.lit(False))
     spans = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.char_length("unit") - 1),
-        lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.char_length("unit") - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
+        F.sequence(F.lit(0), F.char_length("unit") - 2),
+        lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(model.longest), F.char_length("unit") - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
     ))
     substrings = units.filter(~special).select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece")
-    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus. A character without a
-    # piece stays in the lattice as an edge without an id.
-    edges = substrings.join(F.broadcast(table), "piece", "left").filter((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
+    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus. Units of one character never come
+    # here, and neighbours are neighbours in some piece; still a unit can be without an edge.
+    edges = substrings.join(F.broadcast(table), "piece")
     if model.kind == BPE:
-        edge = F.struct((-F.coalesce("score", F.lit(0.0))).alias("rank"), "s", "e", "id")
+        edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id")
     else:
-        edge = F.struct("e", "s", F.coalesce("score", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), "id")
+        edge = F.struct("e", "s", "score", "id")
     lattices = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    cuts = merge_fold(F.col("edges"), F.char_length("unit")) if model.kind == BPE else viterbi_fold(F.col("edges"), F.char_length("unit"))
-    folded = lattices.select("unit", "edges", cuts.alias("cuts"))
+    # Single characters are no edges of the relation: they end in -2 - code point, and get their piece or bytes later.
+    code = lambda at: (-2 - F.ascii(F.substring(F.col("unit"), at + 1, F.lit(1)))).cast("int")
+    if model.kind == BPE:
+        folded = lattices.select("unit", "edges", merge_fold(F.col("edges"), F.char_length("unit")).alias("cuts"))
+    else:
+        single = spark.createDataFrame([(p, model.scores[k]) for p, k in model.ids.items() if len(p) == 1], "char string, single double")
+        chars = units.filter(~special).select("unit", F.posexplode(F.split("unit", "")).alias("s", "char")).join(F.broadcast(single), "char", "left")
+        scored = chars.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + 1).alias("e"), "s", F.coalesce("single", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), F.lit(None).cast("int").alias("id")))).alias("singles"))
+        both = scored.join(lattices, "unit", "left").withColumn("edges", F.when(F.col("edges").isNull(), F.col("singles")).otherwise(F.concat("edges", "singles")))
+        folded = both.select("unit", "edges", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("cuts"))
     ids = F.transform(
         F.sequence(F.lit(0), F.size("cuts") - 2),
-        lambda k: F.filter(F.col("edges"), lambda x: (x["s"] == F.get(F.col("cuts"), k)) & (x["e"] == F.get(F.col("cuts"), k + 1)))[0]["id"],
+        lambda k: F.when(F.get(F.col("cuts"), k + 1) == F.get(F.col("cuts"), k) + 1, code(F.get(F.col("cuts"), k))).otherwise(
+            F.get(F.filter(F.col("edges"), lambda x: (x["s"] == F.get(F.col("cuts"), k)) & (x["e"] == F.get(F.col("cuts"), k + 1))), F.lit(0))["id"]
+        ),
     )
     plain = folded.select("unit", ids.alias("ids"))
     shared = spark.sparkContext.broadcast(model)
@@ -306,7 +323,7 @@ def merge_fold(edges: Column, length: Column) -> Column:
         joins = (F.size(inside) == 3) & (F.get(inside, F.lit(0)) == x["s"]) & (F.get(inside, F.lit(2)) == x["e"])
         return F.when(joins, F.array_remove(cuts, F.get(inside, F.lit(1)))).otherwise(cuts)
 
-    return F.aggregate(F.filter(edges, lambda x: x["e"] > x["s"] + 1), F.sequence(F.lit(0), length).cast("array<int>"), step)
+    return F.aggregate(edges, F.sequence(F.lit(0), length).cast("array<int>"), step)
 
 
 ENCODED = T.StructType([*fields("n_bytes long, n_pieces long").fields, T.StructField("ids", T.BinaryType())])
@@ -320,8 +337,10 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     units = narrow.mapInArrow(_units(shared), "block long, place int, unit string")
     # One exchange by unit serves both the lattice and the way back.
     places = units.groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    known = encoded_units(places.select("unit"), model)
-    back = places.join(known, "unit").select("ids", F.explode("places").alias("p")).select("p.block", "p.place", "ids")
+    # (both need the places: else Spark prunes them from one of the two, and cuts the texts twice)
+    known = encoded_units(places.filter(F.size("places") > 0).select("unit"), model)
+    characters = F.transform(F.sequence(F.lit(1), F.char_length("unit")), lambda k: (-2 - F.ascii(F.substring(F.col("unit"), k, F.lit(1)))).cast("int"))
+    back = places.join(known, "unit", "left").select(F.coalesce("ids", characters).alias("ids"), F.explode("places").alias("p")).select("p.block", "p.place", "ids")
     schema = T.StructType([T.StructField("doc_id", kind), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
@@ -331,8 +350,9 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         offsets, flat = np.asarray(lists.offsets), lists.values
-        unknown = np.array(flat.is_null()) if len(flat) else np.zeros(0, bool)
-        values = np.array(flat.fill_null(-1)).astype(np.int32)
+        values = np.array(flat).astype(np.int32)
+        single = values < -1
+        values[single] = np.where(model.singles[-2 - values[single]] >= 0, model.singles[-2 - values[single]], values[single])
         n_places = int(places.max()) + 1 if len(places) else 0
         where = np.full(n_places, -1, np.int64)
         where[places] = np.arange(len(places))
@@ -351,11 +371,9 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 n = size[row]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 take = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(offsets[row], n)
-                ids, gaps = values[take], unknown[take]
-                if gaps.any():  # characters without a piece: bytes take the place of one edge
-                    at = np.flatnonzero(gaps)
-                    unit = np.searchsorted(ends, at, side="right") - 1
-                    ids, ends = _with_bytes(model, whole, starts, ids, ends, at, unit)
+                ids = values[take]
+                if (ids < 0).any():  # characters without a piece: several bytes take the place of one
+                    ids, ends = _with_bytes(model, ids, ends)
                 edges = ends[first]
                 out += [ids[x:y].astype("<i4").tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
             parts.append(pa.table({
@@ -367,20 +385,16 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     return packed(narrow).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def _with_bytes(model: Model, whole: str, starts: np.ndarray, ids: np.ndarray, ends: np.ndarray, at: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Put byte pieces where the fold found a character without a piece (-1)."""
-    pieces, added = [], np.zeros(len(ids), np.int64)
-    last = 0
-    lengths = np.array([len(p) for p in model.pieces], np.int64)
-    for k, u in zip(at.tolist(), unit.tolist(), strict=True):
-        before = ids[ends[u] : k]
-        char = whole[starts[u] + int(np.where(before < 0, 1, lengths[before]).sum())]
-        new = model.without_piece(char)
-        pieces += [ids[last:k], np.array(new, np.int32)]
+def _with_bytes(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Put the byte pieces where a character has no piece, and move the ends of the units accordingly."""
+    parts, added, last = [], np.zeros(len(ids), np.int64), 0
+    for k in np.flatnonzero(ids < 0).tolist():
+        new = model.without_piece(chr(-2 - int(ids[k])))
+        parts += [ids[last:k], np.array(new, np.int32)]
         added[k] = len(new) - 1
         last = k + 1
     grown = np.concatenate([[0], np.cumsum(added)])
-    return np.concatenate([*pieces, ids[last:]]), ends + grown[ends]
+    return np.concatenate([*parts, ids[last:]]), ends + grown[ends]
 
 
 def decode(ids: Column, model: Model, spark: SparkSession) -> Column:
