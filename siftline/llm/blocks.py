@@ -14,18 +14,33 @@ BLOCK_CHARS = 6 << 20
 
 
 def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
-    """(block id, ids, texts): runs of rows; the id follows from the contents, so it is the same in each scan and after a retry."""
+    """(block id, ids, texts): runs of a partition's rows, however they come in batches.
+
+    The id follows from the contents, so it is the same in each scan and after a retry.
+    """
+    ids: list = []
+    texts: list[str | None] = []
+    size, kind = 0, None
+
+    def block() -> tuple[int, pa.Array, list[str | None]]:
+        digest = hashlib.blake2b(digest_size=8)
+        for t in texts:
+            data = (t or "").encode("utf-8", "surrogatepass")
+            digest.update(b"%d%c" % (len(data), 45 if t is None else 44))
+            digest.update(data)
+        return int.from_bytes(digest.digest(), "little", signed=True), pa.array(ids, kind), texts
+
     for frame in frames:
-        texts, at = frame.column(1).to_pylist(), 0
-        while at < len(texts):
-            k, size = at, 0
-            while k < len(texts) and (k == at or size < BLOCK_CHARS):
-                size += len(texts[k] or "") + 1
-                k += 1
-            own = texts[at:k]
-            digest = hashlib.blake2b("\0".join(f"{len(t)},{t}" if t is not None else "-" for t in own).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            yield int.from_bytes(digest, "little", signed=True), frame.column(0).slice(at, k - at), own
-            at = k
+        kind = frame.column(0).type
+        for ident, text in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
+            ids.append(ident)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "") + 1
+            if size >= BLOCK_CHARS:
+                yield block()
+                ids, texts, size = [], [], 0
+    if ids:
+        yield block()
 
 
 def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

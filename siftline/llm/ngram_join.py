@@ -37,13 +37,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .durable import durable, fields, release
+from .durable import durable, fields, release, settings
 from .textnum import Words, batches, mix64
 
 N = 5
 #: Similarity in hundredths.
 LEAST = 75
 BLOCK_BYTES = 3 << 20
+#: Bits of a shingle's hash that name its column; the sizes and the equality of sets rest on 64 and 128 bits. Two shingles in one
+#: column can only loosen the bounds, which loses no link; that a pair's overlap is counted one too high takes two that
+#: collide in just these two documents (n * m / 2 ** 48).
+BITS = 48
 #: A column is frequent within a row block from this share of its documents, and this number.
 FREQUENT_SHARE, FREQUENT_DOCS = 0.125, 32
 #: Bytes of input (as stored) for a column range.
@@ -135,6 +139,7 @@ def _blocks(n: int, bits: int):
                 n_docs = len(offsets) - 1
                 hashes, doc = shingles(raw, offsets, n)
                 size, f1, f2 = _prints(hashes, doc, n_docs)
+                hashes = hashes >> np.uint64(64 - BITS)
                 start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
                 times = np.diff(np.append(start, len(hashes)))
                 often = times > max(FREQUENT_DOCS, FREQUENT_SHARE * n_docs)
@@ -144,7 +149,7 @@ def _blocks(n: int, bits: int):
                 meta = pack(np.array(own.fill_null(0)).astype(np.int64), known.astype(np.uint8), size.astype(np.int64), f1, f2, hashes[hot], doc[hot].astype(np.uint16))
                 keys, payloads = [-serial - 1], [meta]
                 cold, cold_doc, hot_hash, hot_times = hashes[~hot], doc[~hot].astype(np.uint16), hashes[start[often]], times[often].astype(np.int64)
-                edges = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(64 - bits)
+                edges = (np.arange(1, 1 << bits, dtype=np.uint64)) << np.uint64(BITS - bits)
                 a = np.concatenate([[0], np.searchsorted(cold, edges), [len(cold)]])
                 b = np.concatenate([[0], np.searchsorted(hot_hash, edges), [len(hot_hash)]])
                 for r in np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])):
@@ -238,9 +243,10 @@ def incidence(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """One row per document: rid, doc_id, n, (f1, f2) of its set, k rarest columns to multiply, s shared columns, and those (packed)."""
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     bits = max(6, min(20, (stored // RANGE_BYTES).bit_length()))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(n, bits), COLUMNS)
-    counted = cut.groupBy("key").applyInPandas(_count, COUNTED)
-    return durable(counted.groupBy("block").applyInPandas(_rows(least), ROWS))
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):  # texts may be long
+        cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(n, bits), COLUMNS)
+        counted = cut.groupBy("key").applyInPandas(_count, COUNTED)
+        return durable(counted.groupBy("block").applyInPandas(_rows(least), ROWS))
 
 
 def _possible(a: str, b: str, least: int):

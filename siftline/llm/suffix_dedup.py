@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, packed, unpacked
-from .durable import durable, fields
+from .durable import durable, fields, settings
 from .textnum import _TABLE, _power, mix64
 
 LENGTH = 400
@@ -246,7 +246,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     bits = max(5, min(20, (stored // BUCKET_BYTES).bit_length()))
     narrow = docs.select("doc_id", "text")
-    found = durable(narrow.mapInArrow(_find(length), FOUND))
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):  # texts may be long
+        found = durable(narrow.mapInArrow(_find(length), FOUND))
     # Equal rows with their count, and how many different rows an anchor has; written, with keys made anew, so that hot ones can be split.
     rows = durable(found.groupBy("anchor", "row").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("block", "doc", "place")).alias("one")))
     several = durable(rows.groupBy("anchor").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"))
