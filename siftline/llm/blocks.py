@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .memory import trim
+
 #: Characters of text in a block.
 BLOCK_CHARS = 6 << 20
 
@@ -41,6 +43,7 @@ def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, li
                 ids, texts, size = [], [], 0
     if ids:
         yield block()
+    trim()
 
 
 def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

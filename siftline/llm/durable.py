@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -36,19 +34,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for what is run within; afterwards they are as before."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles and checkpoints that nothing refers to any more, before more disk is used."""
     gc.collect()

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .durable import durable, fields, release, settings
+from .durable import durable, fields, release
+from .memory import trim, trimmed
 from .textnum import Words, batches, mix64
 
 N = 5
@@ -158,6 +159,7 @@ def _blocks(n: int, bits: int):
                     payloads.append(pack(deltas(cold[x]), cold_doc[x], hot_hash[y], hot_times[y]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([serial] * len(keys), pa.int64()), pa.array(payloads, pa.binary())], names=["key", "block", "payload"])
                 serial += 1
+        trim()
 
     return run
 
@@ -243,10 +245,9 @@ def incidence(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """One row per document: rid, doc_id, n, (f1, f2) of its set, k rarest columns to multiply, s shared columns, and those (packed)."""
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     bits = max(6, min(20, (stored // RANGE_BYTES).bit_length()))
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):  # texts may be long
-        cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(n, bits), COLUMNS)
-        counted = cut.groupBy("key").applyInPandas(_count, COUNTED)
-        return durable(counted.groupBy("block").applyInPandas(_rows(least), ROWS))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(n, bits), COLUMNS)
+    counted = cut.groupBy("key").applyInPandas(trimmed(_count), COUNTED)
+    return durable(counted.groupBy("block").applyInPandas(trimmed(_rows(least)), ROWS))
 
 
 def _possible(a: str, b: str, least: int):

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from .blocks import blocks, packed, unpacked
 from .durable import fields
+from .memory import trim
 from .textnum import mix64
 
 SPACE = "▁"
@@ -254,6 +255,7 @@ def _units(shared):
             for k in range(0, len(order), 100_000):
                 part = order[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array([found[x].encode("utf-8", "replace").decode() for x in part.tolist()], pa.string())], schema=UNITS)
+            trim()
 
     return run
 
@@ -380,6 +382,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                 "doc_id": table["doc_id"], "n_bytes": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in own_texts], pa.int64()),
                 "n_pieces": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary()),
             }))
+        trim()
         return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     return packed(narrow).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, packed, unpacked
-from .durable import durable, fields, settings
+from .durable import durable, fields
+from .memory import trim, trimmed
 from .textnum import _TABLE, _power, mix64
 
 LENGTH = 400
@@ -105,6 +106,7 @@ def _find(length: int):
             columns = [np.concatenate(x) for x in out]
             for k in range(0, len(columns[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0][k : k + 200_000]), block)), *(pa.array(c[k : k + 200_000]) for c in columns)], names=FOUND.names)
+            trim()
 
     return run
 
@@ -205,7 +207,10 @@ def _ship(length: int, bits: int):
                     for name, value in zip(SHIPPED.names, ((r["anchor"] & (2**64 - 1)) >> (64 - bits), r["anchor"], r["block"], r["doc"], r["place"], r["place"] - lo, r["own"], data), strict=True):
                         out[name].append(value)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
+        table = pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
+        del out
+        trim()
+        return table
 
     return run
 
@@ -236,6 +241,7 @@ def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         parts.append(pa.table({"doc_id": own["doc_id"], **{n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)}}))
+    trim()
     if not parts:
         raise RuntimeError("marks of a block whose texts are not there")
     return pa.concat_tables(parts)
@@ -246,8 +252,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     bits = max(5, min(20, (stored // BUCKET_BYTES).bit_length()))
     narrow = docs.select("doc_id", "text")
-    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):  # texts may be long
-        found = durable(narrow.mapInArrow(_find(length), FOUND))
+    found = durable(narrow.mapInArrow(_find(length), FOUND))
     # Equal rows with their count, and how many different rows an anchor has; written, with keys made anew, so that hot ones can be split.
     rows = durable(found.groupBy("anchor", "row").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("block", "doc", "place")).alias("one")))
     several = durable(rows.groupBy("anchor").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1"))
@@ -259,7 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = known.filter("kinds > 1").select(F.col("one.block").alias("block"), F.col("one.doc").alias("doc"), F.col("one.place").alias("place"), "anchor", (F.col("times") == 1).alias("own"))
     texts = packed(narrow)
     shipped = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_ship(length, bits), SHIPPED)
-    marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInPandas(_mark(length), MARKS))
+    marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInPandas(trimmed(_mark(length)), MARKS))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, schema)
