@@ -261,12 +261,12 @@ def _units(shared):
 
 
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for distinct units: the lattice and its fold."""
+    """(unit, ids) for distinct units (unit, its length n, spaced: has two spaces in a row): the lattice and its fold."""
     spark = units.sparkSession
     rows = [(p, k, model.scores[k]) for p, k in model.ids.items()]
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]).astype({"id": "int32"}))
-    units = units.filter(F.char_length("unit") > 1)
-    special = (F.char_length("unit") > LONG_UNIT) | (F.col("unit").contains(SPACE * 2) if model.kind == BPE else F.lit(False))
+    units = units.filter("n > 1")
+    special = (F.col("n") > LONG_UNIT) | (F.col("spaced") if model.kind == BPE else F.lit(False))
     spans = F.flatten(F.transform(
         F.sequence(F.lit(0), F.char_length("unit") - 2),
         lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(model.longest), F.char_length("unit") - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
@@ -337,12 +337,14 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     narrow = docs.select("doc_id", "text")
     units = narrow.mapInArrow(_units(shared), "block long, place int, unit string")
-    # One exchange by unit serves both the lattice and the way back.
-    places = units.groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    # (both need the places: else Spark prunes them from one of the two, and cuts the texts twice)
-    known = encoded_units(places.filter(F.size("places") > 0).select("unit"), model)
+    # One exchange by unit serves both the lattice and the way back; both read all its columns, so that it is the same.
+    placed = units.repartition("unit")
+    # What the lattice filters by is aggregated, too: a filter on the unit itself would go below one of the two exchanges.
+    length, spaced = F.max(F.char_length("unit")).alias("n"), F.max(F.col("unit").contains(SPACE * 2)).alias("spaced")
+    distinct = placed.groupBy("unit").agg(F.max("place").alias("place"), F.max("block").alias("block"), length, spaced).filter("place >= 0 or block is null")
+    known = encoded_units(distinct.select("unit", "n", "spaced"), model)
     characters = F.transform(F.sequence(F.lit(1), F.char_length("unit")), lambda k: (-2 - F.ascii(F.substring(F.col("unit"), k, F.lit(1)))).cast("int"))
-    back = places.join(known, "unit", "left").select(F.coalesce("ids", characters).alias("ids"), F.explode("places").alias("p")).select("p.block", "p.place", "ids")
+    back = placed.join(known, "unit", "left").select("block", "place", F.coalesce("ids", characters).alias("ids"))
     schema = T.StructType([T.StructField("doc_id", kind), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
