@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,8 @@ GRAM = 16
 PIECE = 1 << 19
 #: Bytes of input (as stored) for one bucket of anchors.
 BUCKET_BYTES = 1 << 20
+#: Rows of the table for which the transform is built at a time, as far as single anchors allow.
+ROWS = 4096
 PAD = 0xFF  # no byte of UTF-8
 
 
@@ -125,9 +126,10 @@ def long_matches(table: np.ndarray, groups: np.ndarray, length: int = LENGTH) ->
     back = table[:, length - 1 :: -1] + np.uint8(1)  # the columns up to the anchor's end, backwards; no zero but for padding
     keys = np.concatenate([groups.astype(">u8").view(np.uint8).reshape(n, 8), back], axis=1).view(f"S{length + 8}").ravel()
     order = np.argsort(keys, kind="stable")
-    above, row = back[order[:-1]], back[order[1:]]
-    differ = above != row
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    common = np.empty(n - 1, np.int64)
+    for at in range(0, n - 1, ROWS):
+        differ = back[order[at : min(at + ROWS, n - 1)]] != back[order[at + 1 : at + 1 + ROWS]]
+        common[at : at + ROWS] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
     begin = np.full(n, apart, np.int32)
     begin[1:] = np.where(groups[order[1:]] == groups[order[:-1]], length - common, apart)
     begin[begin > limit] = apart
@@ -170,24 +172,43 @@ def long_matches(table: np.ndarray, groups: np.ndarray, length: int = LENGTH) ->
 
 
 def _mark(length: int):
-    """Of one bucket of anchors: the ranges of bytes that long matches cover."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        width, origin = 2 * length - GRAM, length - GRAM
-        table = np.full((len(rows), width), PAD, np.uint8)
-        first, last = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        for k, (left, data) in enumerate(zip(rows["left"], rows["bytes"], strict=True)):
-            first[k], last[k] = origin - left, origin - left + len(data)
-            table[k, first[k] : last[k]] = np.frombuffer(data, np.uint8)
-        flags = long_matches(table, rows["anchor"].to_numpy(np.int64).view(np.uint64), length)
-        start = np.arange(flags.shape[1])
-        flags &= (start >= first[:, None]) & (start + length <= last[:, None]) & rows["own"].to_numpy(bool)[:, None]
-        step = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        r, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)
-        offset = rows["place"].to_numpy(np.int64)[r] - origin
-        return pd.DataFrame({"block": rows["block"].to_numpy(np.int64)[r], "doc": rows["doc"].to_numpy(np.int32)[r], "start": offset + a, "stop": offset + b - 1 + length})
+    """Of one bucket of anchors: the ranges of bytes that long matches cover. Whole anchors go together, a few thousand rows at a time."""
+    width, origin = 2 * length - GRAM, length - GRAM
+
+    def covered(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, own: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first column, column after the last) of the covered ranges of some rows."""
+        first = origin - left
+        table = np.full((len(begin), width), PAD, np.uint8)
+        for k, (x, n, c) in enumerate(zip(begin.tolist(), size.tolist(), first.tolist(), strict=True)):
+            table[k, c : c + n] = data[x : x + n]
+        flags = long_matches(table, anchor.view(np.uint64), length)
+        start = np.arange(flags.shape[1], dtype=np.int32)
+        flags &= own[:, None]
+        flags &= start >= first[:, None]
+        flags &= start + length <= (first + size)[:, None]
+        edge = np.zeros((len(begin), 1), bool)
+        r, a = np.nonzero(flags & ~np.concatenate([edge, flags[:, :-1]], axis=1))
+        _, b = np.nonzero(flags & ~np.concatenate([flags[:, 1:], edge], axis=1))
+        return r, a, b + length
+
+    def run(rows: pa.Table) -> pa.Table:
+        bytes_ = rows["bytes"].combine_chunks()
+        begin = np.frombuffer(bytes_.buffers()[1], np.int32, len(bytes_) + 1, bytes_.offset * 4).astype(np.int64)
+        data = np.frombuffer(bytes_.buffers()[2], np.uint8)
+        column = {c: rows[c].to_numpy() for c in ("anchor", "block", "doc", "place", "left", "own")}
+        order = np.argsort(column["anchor"], kind="stable")
+        anchor = column["anchor"][order]
+        ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
+        parts, at = [], 0
+        while at < len(order):
+            to = int(ends[min(np.searchsorted(ends, at + ROWS), len(ends) - 1)])
+            part = order[at:to]
+            r, a, b = covered(data, begin[part], begin[part + 1] - begin[part], column["left"][part].astype(np.int64), column["own"][part].astype(bool), anchor[at:to])
+            hit = part[r]
+            parts.append((column["block"][hit], column["doc"][hit], column["place"][hit] - origin + a, column["place"][hit] - origin + b))
+            at = to
+        out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return pa.table({"block": pa.array(out[0], pa.int64()), "doc": pa.array(out[1], pa.int32()), "start": pa.array(out[2], pa.int64()), "stop": pa.array(out[3], pa.int64())})
 
     return run
 
@@ -264,7 +285,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = known.filter("kinds > 1").select(F.col("one.block").alias("block"), F.col("one.doc").alias("doc"), F.col("one.place").alias("place"), "anchor", (F.col("times") == 1).alias("own"))
     texts = packed(narrow)
     shipped = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_ship(length, bits), SHIPPED)
-    marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInPandas(trimmed(_mark(length)), MARKS))
+    marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInArrow(trimmed(_mark(length)), MARKS))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, schema)
