@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .memory import trim
 
 #: Characters of text in a block.
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 4 << 20
 
 
 def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:

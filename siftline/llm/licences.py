@@ -189,8 +189,10 @@ def scan(docs: DataFrame, rows: int = 500, seed: int = SEED) -> DataFrame:
     At most ``rows`` documents, chosen by hash among those of up to 20,000 code points, give the ordinary
     paragraphs for fitting; every text is scanned whole.
     """
-    some = docs.filter(F.char_length("text") <= 20_000).select("doc_id", "text").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(train([r["text"] for r in some.collect()], seed))  # under 1 MB
+    # Ids first, from the one column: a sort that carried texts would send some from every partition to the driver.
+    chosen = docs.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows).distinct()
+    some = docs.filter(F.char_length("text") <= 20_000).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    shared = docs.sparkSession.sparkContext.broadcast(train([r["text"] for r in sorted(some.collect(), key=lambda r: r["doc_id"])], seed))  # under 1 MB
 
     @F.pandas_udf(T.StructType([*fields("n_licences int, family string, probability double, template_share double").fields, T.StructField("families", T.ArrayType(T.StringType()))]))
     def scanned(texts: pd.Series) -> pd.DataFrame:

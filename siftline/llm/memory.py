@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch; texts may be long, and a batch is in memory several times.
 BATCH_ROWS = "1000"
+#: Groups of a list aggregation that a task keeps in memory before it sorts instead; Spark's own bound of 128 sorts nearly always.
+GROUPS = 8192
 
 
 def trim() -> None:
@@ -35,6 +37,8 @@ def trimmed(f: Callable) -> Callable:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows in this session, for queries over texts."""
+    """Settings of this session for queries over texts: Arrow batches of few rows, and lists of up to so many groups collected without sorting."""
+    if int(spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")) < GROUPS:
+        spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks, packed, unpacked
-from .durable import fields
+from .durable import fields, shuffle_width
 from .memory import trim
 from .textnum import mix64
 
@@ -45,6 +45,8 @@ LONG_UNIT = 64
 #: Characters of text in one go of the cutting.
 PIECE_CHARS = 1 << 20
 UNKNOWN_PENALTY = 10.0
+#: Partitions of units for each shuffle partition.
+PARTS = 10
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -338,7 +340,8 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     units = narrow.mapInArrow(_units(shared), "block long, place int, unit string")
     # One exchange by unit serves both the lattice and the way back; both read all its columns, so that it is the same.
-    placed = units.repartition("unit")
+    # Many small partitions: the edges of one are then grouped in memory, without being sorted (see memory.small_batches).
+    placed = units.repartition(PARTS * shuffle_width(docs.sparkSession), "unit")
     # What the lattice filters by is aggregated, too: a filter on the unit itself would go below one of the two exchanges.
     length, spaced = F.max(F.char_length("unit")).alias("n"), F.max(F.col("unit").contains(SPACE * 2)).alias("spaced")
     distinct = placed.groupBy("unit").agg(F.max("place").alias("place"), F.max("block").alias("block"), length, spaced).filter("place >= 0 or block is null")

@@ -214,24 +214,25 @@ def _mark(length: int):
 
 
 def _ship(length: int, bits: int):
+    """Of one block: the rows (bytes around an anchor) that are wanted, under the bucket of their anchor."""
+
     def run(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {name: [] for name in SHIPPED.names}
+        data: list[bytes] = []
         if len(rows):
-            for payload in texts["payload"].to_pylist()[:1]:
-                own = unpacked(payload)["text"]
-                at = 0
-                for r in sorted(rows.to_pylist(), key=lambda r: r["doc"]):
-                    if not at or at[0] != r["doc"]:
-                        at = (r["doc"], (own[r["doc"]].as_py() or "").encode("utf-8", "surrogatepass"))
-                    lo = max(0, r["place"] - (length - GRAM))
-                    data = at[1][lo : r["place"] + length]
-                    for name, value in zip(SHIPPED.names, ((r["anchor"] & (2**64 - 1)) >> (64 - bits), r["anchor"], r["block"], r["doc"], r["place"], r["place"] - lo, r["own"], data), strict=True):
-                        out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        table = pa.table({name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds, strict=True)})
-        del out
+            rows = rows.sort_by("doc")
+            own, doc, raw = unpacked(texts["payload"][0].as_py())["text"], -1, b""
+            for d, place in zip(rows["doc"].to_numpy().tolist(), rows["place"].to_numpy().tolist(), strict=True):
+                if d != doc:
+                    doc, raw = d, (own[d].as_py() or "").encode("utf-8", "surrogatepass")
+                data.append(raw[max(0, place - (length - GRAM)) : place + length])
+        anchor, place = rows["anchor"].to_numpy(), rows["place"].to_numpy()
+        columns = {
+            "bucket": pa.array((anchor.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)), "anchor": rows["anchor"], "block": rows["block"], "doc": rows["doc"], "place": rows["place"],
+            "left": pa.array(np.minimum(place, length - GRAM).astype(np.int32)), "own": rows["own"], "bytes": pa.array(data, pa.binary()),
+        }
+        del data
         trim()
-        return table
+        return pa.table(columns)
 
     return run
 

@@ -315,8 +315,8 @@ def test_mix_edges(spark, edge, empty):
 
 def test_mix_probabilities(spark):
     """Over many seeds each document gets its expected number of copies."""
-    docs = spark.createDataFrame([(k, "w " * (1 + k % 5), "a" if k < 12 else "b") for k in range(20)], "doc_id long, text string, source string")
-    runs = [mixing.mix(docs, seed=s, leaf=4, fan_in=2).collect() for s in range(24)]
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 5), "a" if k < 24 else "b") for k in range(40)], "doc_id long, text string, source string")
+    runs = [mixing.mix(docs, seed=s, leaf=4, fan_in=2).collect() for s in range(10)]
     for source in ("a", "b"):
         rate = next(r.target / r.source_size for r in runs[0] if r.source == source)
         mean = np.mean([r.copies for run in runs for r in run if r.source == source])
