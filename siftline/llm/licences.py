@@ -147,7 +147,12 @@ def _variants(text: str, rng: np.random.Generator) -> list[str]:
 def train(ordinary: list[str], seed: int = SEED) -> Model:
     """Fit on the templates and on ``ordinary`` paragraphs (a bounded sample)."""
     rng = np.random.default_rng(seed)
+    notices = [np.unique(_grams_of(t)[1]) for ts in TEMPLATES.values() for t in ts]
     plain = [line for text in ordinary for line in text.split("\n") if line.strip() and not re.search(r"(?i)licen[sc]e|rights reserved|\bCC\b", line)][:4000]
+    known = {int(g) for t in notices for g in t}
+    pairs = [_grams_of(line)[1] for line in plain]
+    notice = [any(g in known for g in own.tolist()) and max(np.isin(t, own).mean() for t in notices) >= CONFIRM for own in pairs]
+    plain = [line for line, n in zip(plain, notice, strict=True) if not n]  # what is a notice is no ordinary text
     rows = [(v, k) for k, name in enumerate(CLASSES[1:], 1) for t in TEMPLATES[name] for v in _variants(t, rng)]
     rows += [(v, 0) for t in NEGATIVES for v in _variants(t, rng)] + [(t, 0) for t in plain]
     grams = [np.unique(np.concatenate(_grams_of(t))) for t, _ in rows]
