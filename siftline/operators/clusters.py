@@ -264,7 +264,7 @@ def density_cluster(vectors: DataFrame, min_cluster_size: int = 50, min_samples:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        return pd.DataFrame({"id": rows["id"], "v": rows["v"], "cluster": density_labels(np.stack(rows["v"].to_numpy()), min_cluster_size, min_samples, method).astype(np.int32)})
+        return pd.DataFrame({"id": list(rows["id"]), "v": list(rows["v"]), "cluster": density_labels(np.stack(rows["v"].to_numpy()), min_cluster_size, min_samples, method).astype(np.int32)})
 
     kind = vectors.schema["id"].dataType.simpleString()
     return vectors.select("id", "v", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, f"id {kind}, v array<double>, cluster int")

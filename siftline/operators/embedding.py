@@ -90,7 +90,7 @@ def _mapper(encoder: Encoder):
     def run(frames):
         encode = encoder.open()
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "embedding": list(encode(list(frame["text"])))})
+            yield pd.DataFrame({"id": list(frame["id"]), "embedding": list(encode(list(frame["text"])))})
 
     return run
 

@@ -162,7 +162,7 @@ def run_tests(samples: DataFrame, timeout: int = 5, allow_code: bool = False) ->
                     passed.append(done.returncode == 0 and done.stdout.strip() == (expected or "").strip())
                 except subprocess.TimeoutExpired:
                     passed.append(False)
-            yield pd.DataFrame({"id": frame["id"], "passed": passed})
+            yield pd.DataFrame({"id": list(frame["id"]), "passed": passed})
 
     kind = samples.schema["id"].dataType.simpleString()
     return samples.select("id", "code", "input", "call", "expected").mapInPandas(run, f"id {kind}, passed boolean")

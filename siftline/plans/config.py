@@ -95,3 +95,10 @@ def load_yaml(path: str) -> dict:
         data = yaml.safe_load(file) or {}
     base = data.pop("_base_", None)
     return merged(load_yaml(os.path.join(os.path.dirname(path), base)), data) if base else data
+
+
+def save_yaml(config: dict, path: str) -> None:
+    import yaml
+
+    with open(path, "w") as file:
+        yaml.safe_dump(config, file, allow_unicode=True, sort_keys=False)

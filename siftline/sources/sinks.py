@@ -66,3 +66,19 @@ def load_round(spark: SparkSession, path: str, round_no: int | None = None) -> D
 def retained(rounds: DataFrame, keep: int = 5, order: str = "round") -> DataFrame:
     """The newest rounds of a small table of rounds."""
     return rounds.withColumn("_n", F.row_number().over(Window.orderBy(F.col(order).desc()))).filter(F.col("_n") <= keep).drop("_n")
+
+
+def save_clusters(clusters: DataFrame, path: str) -> None:
+    """Cluster properties and centroids as two tables, so that reading one does not read the other."""
+    clusters.drop("centroid").write.mode("overwrite").parquet(f"{path}/clusters")
+    clusters.select("cluster", "centroid").write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """Clusters with their centroids where there are any."""
+    return spark.read.parquet(f"{path}/clusters").join(spark.read.parquet(f"{path}/centroids"), "cluster", "left")
+
+
+def save_history(path: str, selections: DataFrame, round_no: int) -> None:
+    """The ids of a round, under the round."""
+    selections.select("id").write.mode("overwrite").parquet(f"{path}/round={round_no}")

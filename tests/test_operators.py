@@ -178,3 +178,30 @@ def test_config(tmp_path):
     assert abs(sum(config.preset("mmlu_bbh")["prior"].values()) - 1) < 1e-9
     with pytest.raises(ValueError):
         config.preset("none")
+
+
+def test_evaluators(spark):
+    from siftline.operators.evaluators import EVALUATORS
+
+    df = spark.createDataFrame([(1, 0, "The answer is: 4", "#### 4", 1.0), (2, 0, "5", "6", 1.0)], "id long, batch int, prediction string, reference string, loss double")
+    assert [r.error for r in EVALUATORS["math_exact_match"](df).orderBy("id").collect()] == [0.0, 1.0]
+    assert {r.error for r in EVALUATORS["loss"](df).collect()} == {0.5}
+    assert [r.error for r in EVALUATORS["containment"](df).orderBy("id").collect()] == [1.0, 1.0]
+    with pytest.raises(ValueError):
+        EVALUATORS["loss"](df.drop("loss"))
+
+
+def test_command_line(spark, tmp_path):
+    from siftline.__main__ import main
+
+    main(["sample-data", "--folder", str(tmp_path / "samples.jsonl")])
+    small = ["--folder", str(tmp_path / "state"), "--preset", "small", "--set", "clustering.algorithm=kmeans", "clustering.k=4", "budget.total=30", "embedding.dim=16", "embedding.pca_dim=null", "data.min_length=1"]
+    main(["offline", "--input", str(tmp_path / "samples.jsonl"), *small])
+    main(["train", "--rounds", "2", *small])
+    rounds = spark.read.parquet(str(tmp_path / "state" / "rounds"))
+    assert rounds.count() == 2
+    again = sinks.load_round(spark, str(tmp_path / "state" / "state"))
+    assert again.filter("times_selected > 0").count() > 0
+    table = spark.read.parquet(str(tmp_path / "state" / "clusters"))
+    sinks.save_clusters(table, str(tmp_path / "c"))
+    assert sinks.load_clusters(spark, str(tmp_path / "c")).filter("centroid is null").count() == 0
