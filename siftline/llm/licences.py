@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .durable import fields
+from .memory import trim
 from .textnum import Words, batches, mix64
 
 # Notices by which well-known licences are granted, by family.
@@ -205,6 +206,7 @@ def scan(docs: DataFrame, rows: int = 500, seed: int = SEED) -> DataFrame:
         for hits in shared.value.scan(list(texts)):
             top = max(hits, key=lambda x: (x[1], x[2], x[0])) if hits else (None, None, None)
             out.append((len(hits), *top, sorted({x[0] for x in hits})))
+        trim()
         return pd.DataFrame(out, columns=["n_licences", "family", "probability", "template_share", "families"])
 
     return docs.select("doc_id", scanned("text").alias("s")).select("doc_id", "s.*")

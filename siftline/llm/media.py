@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import fields
+from .memory import trim
 
 WIDTH = 576
 FILL = 255
@@ -168,6 +169,7 @@ def read_back(media: pd.Series) -> pd.DataFrame:
         samples = decode_png(stored)
         payload = samples.tobytes()
         out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), cosine_hash(samples)))
+    trim()
     return pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 

@@ -238,6 +238,7 @@ def _prefix(shared: pd.Series, k: pd.Series) -> pd.Series:
 @F.pandas_udf(T.LongType())
 def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
     """Cells of the product: columns that both rows have."""
+    trim()
     return pd.Series([len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .durable import durable, fields
+from .memory import trim
 
 KEY = b"siftline surrogate key"
 
@@ -183,6 +184,7 @@ def written_like(kind: str, mention: str, new: str) -> str:
 
 @F.pandas_udf(T.ArrayType(fields("kind string, entity string")))
 def _entities(texts: pd.Series) -> pd.Series:
+    trim()
     return texts.map(lambda t: [] if not t else [{"kind": k, "entity": e} for k, e in sorted({(k, e) for _, _, k, e in mentions(t)})])
 
 
@@ -202,6 +204,7 @@ def _replace(texts: pd.Series, tables: pd.Series) -> pd.DataFrame:
             parts += [text[at:start], written_like(kind, text[start:end], new[kind, entity])]
             at = end
         out.append(("".join([*parts, text[at:]]) if found else text, len(found), len({x[2:] for x in found})))
+    trim()
     return pd.DataFrame(out, columns=["text", "n_entities", "n_distinct"])
 
 

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import trim
 from .sample import labelled_sample
 from .textnum import Words, batches, owner
 
@@ -170,7 +171,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(list(texts)))
+        out = pd.Series(shared.value.scores(list(texts)))
+        trim()
+        return out
 
     return docs.withColumn("score", scored(F.col("text")))
 

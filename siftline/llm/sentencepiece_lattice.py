@@ -416,6 +416,7 @@ def decode(ids: Column, model: Model, spark: SparkSession) -> Column:
         for x in column:
             data = b"".join([raw[k] for k in np.frombuffer(x, "<i4").tolist()])
             out.append((data[1:] if skip and data[:1] == b" " else data).decode("utf-8", "replace"))
+        trim()
         return pd.Series(out, dtype=object)
 
     return decoded(ids)

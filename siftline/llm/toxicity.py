@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import trim
 from .sample import labelled_sample
 from .textnum import _LOWER, Words, batches, mix64
 
@@ -166,6 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("severity double, grade int, p_toxic double")
     def scored(texts: pd.Series) -> pd.DataFrame:
         above = shared.value.above(list(texts))
+        trim()
         grades = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
         return pd.DataFrame({"severity": above.sum(axis=1), "grade": grades.argmax(axis=1).astype(np.int32), "p_toxic": above[:, 0]})
 
