@@ -15,7 +15,7 @@ from .memory import trim
 BLOCK_CHARS = 4 << 20
 
 
-def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
+def blocks(frames: Iterator[pa.RecordBatch], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
     """(block id, ids, texts): runs of a partition's rows, however they come in batches.
 
     The id follows from the contents, so it is the same in each scan and after a retry.
@@ -38,7 +38,7 @@ def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, li
             ids.append(ident)
             texts.append(text.as_py())
             size += len(texts[-1] or "") + 1
-            if size >= BLOCK_CHARS:
+            if size >= limit:
                 yield block()
                 ids, texts, size = [], [], 0
     if ids:
@@ -46,19 +46,23 @@ def blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, li
     trim()
 
 
-def _pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(limit: int):
     """The rows of each block in one compressed row."""
-    for block, ids, texts in blocks(frames):
-        table = pa.table({"doc_id": ids, "text": pa.array(texts, pa.string())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())], names=["block", "payload"])
 
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in blocks(frames, limit):
+            table = pa.table({"doc_id": ids, "text": pa.array(texts, pa.string())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.compress(sink.getvalue().to_pybytes(), 3)], pa.binary())], names=["block", "payload"])
 
-def packed(docs: DataFrame) -> DataFrame:
+    return run
+
+
+def packed(docs: DataFrame, limit: int = BLOCK_CHARS) -> DataFrame:
     """(block, payload) of (doc_id, text)."""
-    return docs.mapInArrow(_pack, "block long, payload binary")
+    return docs.mapInArrow(_pack(limit), "block long, payload binary")
 
 
 def unpacked(payload: bytes) -> pa.Table:

@@ -44,6 +44,8 @@ UNIGRAM, BPE = 1, 2
 LONG_UNIT = 64
 #: Characters of text in one go of the cutting.
 PIECE_CHARS = 1 << 20
+#: Characters of text in a block: the larger, the fewer units go to and fro.
+BLOCK_CHARS = 10 << 20
 UNKNOWN_PENALTY = 10.0
 #: Partitions of units for each shuffle partition.
 PARTS = 10
@@ -243,7 +245,7 @@ def _units(shared):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block, _, texts in blocks(frames):
+        for block, _, texts in blocks(frames, BLOCK_CHARS):
             found: dict[int, str] = {}
             hashes = []
             for a, b in _parts(texts):
@@ -262,46 +264,43 @@ def _units(shared):
     return run
 
 
-def encoded_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for distinct units (unit, its length n, spaced: has two spaces in a row): the lattice and its fold."""
+def encoded_units(units: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """(unit, *carried, ids) for distinct units: the lattice and its fold, in one pass.
+
+    Single characters of a BPE lattice are no edges; they end as -2 - code point, and get their piece or bytes later.
+    """
     spark = units.sparkSession
     rows = [(p, k, model.scores[k]) for p, k in model.ids.items()]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]).astype({"id": "int32"}))
-    units = units.filter("n > 1")
-    special = (F.col("n") > LONG_UNIT) | (F.col("spaced") if model.kind == BPE else F.lit(False))
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.char_length("unit") - 2),
-        lambda s: F.transform(F.sequence(F.lit(2), F.least(F.lit(model.longest), F.char_length("unit") - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
-    ))
-    substrings = units.filter(~special).select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece")
-    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus. Units of one character never come
-    # here, and neighbours are neighbours in some piece; still a unit can be without an edge.
-    edges = substrings.join(F.broadcast(table), "piece")
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]).astype({"id": "int32"})).withColumn("id", F.col("id").cast("int"))
+    length = F.char_length("unit")
+    special = (length > LONG_UNIT) | (F.col("unit").contains(SPACE * 2) if model.kind == BPE else F.lit(False))
+    shortest = 2 if model.kind == BPE else 1
+    no_spans = F.array().cast("array<struct<s:int,e:int,piece:string>>")
+    spans = F.when(special | (length < shortest), no_spans).otherwise(F.flatten(F.transform(
+        F.sequence(F.lit(0), length - shortest),
+        lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(model.longest), length - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
+    )))
+    substrings = units.select("unit", *carried, F.explode_outer(spans).alias("x")).select("unit", *carried, "x.s", "x.e", "x.piece")
+    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus. The first substring of a unit stays
+    # whether or not it is a piece, so that no unit is lost; a single character without a piece is an edge of a unigram lattice.
+    joined = substrings.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | F.col("s").isNull() | ((F.col("s") == 0) & (F.col("e") == shortest)) | (F.col("e") == F.col("s") + 1))
     if model.kind == BPE:
-        edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id")
+        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("rank"), "s", "e", "id"))
     else:
-        edge = F.struct("e", "s", "score", "id")
-    lattices = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # Single characters are no edges of the relation: they end in -2 - code point, and get their piece or bytes later.
+        edge = F.when(F.col("s").isNotNull(), F.struct("e", "s", F.coalesce("score", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), "id"))
+    lattices = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in carried])
+    fold = merge_fold if model.kind == BPE else viterbi_fold
+    folded = lattices.withColumn("cuts", F.when(special | (length < 2), F.array(F.lit(0), length)).otherwise(fold(F.col("edges"), length)))
     code = lambda at: (-2 - F.ascii(F.substring(F.col("unit"), at + 1, F.lit(1)))).cast("int")
-    if model.kind == BPE:
-        folded = lattices.select("unit", "edges", merge_fold(F.col("edges"), F.char_length("unit")).alias("cuts"))
-    else:
-        single = spark.createDataFrame([(p, model.scores[k]) for p, k in model.ids.items() if len(p) == 1], "char string, single double")
-        chars = units.filter(~special).select("unit", F.posexplode(F.split("unit", "")).alias("s", "char")).join(F.broadcast(single), "char", "left")
-        scored = chars.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct((F.col("s") + 1).alias("e"), "s", F.coalesce("single", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), F.lit(None).cast("int").alias("id")))).alias("singles"))
-        both = scored.join(lattices, "unit", "left").withColumn("edges", F.when(F.col("edges").isNull(), F.col("singles")).otherwise(F.concat("edges", "singles")))
-        folded = both.select("unit", "edges", viterbi_fold(F.col("edges"), F.char_length("unit")).alias("cuts"))
     ids = F.transform(
         F.sequence(F.lit(0), F.size("cuts") - 2),
         lambda k: F.when(F.get(F.col("cuts"), k + 1) == F.get(F.col("cuts"), k) + 1, code(F.get(F.col("cuts"), k))).otherwise(
             F.get(F.filter(F.col("edges"), lambda x: (x["s"] == F.get(F.col("cuts"), k)) & (x["e"] == F.get(F.col("cuts"), k + 1))), F.lit(0))["id"]
         ),
     )
-    plain = folded.select("unit", ids.alias("ids"))
     shared = spark.sparkContext.broadcast(model)
-    one_by_one = F.pandas_udf(lambda u: u.map(shared.value.encode_unit), T.ArrayType(T.IntegerType()))
-    return plain.unionByName(units.filter(special).select("unit", one_by_one("unit").alias("ids")))
+    one_by_one = F.pandas_udf(lambda u: u.map(lambda x: None if x is None else shared.value.encode_unit(x)), T.ArrayType(T.IntegerType()))
+    return folded.select("unit", *carried, F.coalesce(one_by_one(F.when(special, F.col("unit"))), ids).alias("ids"))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -340,14 +339,11 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     units = narrow.mapInArrow(_units(shared), "block long, place int, unit string")
     # One exchange by unit serves both the lattice and the way back; both read all its columns, so that it is the same.
-    # Many small partitions: the edges of one are then grouped in memory, without being sorted (see memory.small_batches).
+    # Many small partitions: places and edges of one are grouped in memory, without being sorted (see memory.small_batches).
+    # A unit's places (one for each block that has it) go along, so that the units are cut, exchanged and read only once.
     placed = units.repartition(PARTS * shuffle_width(docs.sparkSession), "unit")
-    # What the lattice filters by is aggregated, too: a filter on the unit itself would go below one of the two exchanges.
-    length, spaced = F.max(F.char_length("unit")).alias("n"), F.max(F.col("unit").contains(SPACE * 2)).alias("spaced")
-    distinct = placed.groupBy("unit").agg(F.max("place").alias("place"), F.max("block").alias("block"), length, spaced).filter("place >= 0 or block is null")
-    known = encoded_units(distinct.select("unit", "n", "spaced"), model)
-    characters = F.transform(F.sequence(F.lit(1), F.char_length("unit")), lambda k: (-2 - F.ascii(F.substring(F.col("unit"), k, F.lit(1)))).cast("int"))
-    back = placed.join(known, "unit", "left").select("block", "place", F.coalesce("ids", characters).alias("ids"))
+    places = placed.groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("places"))
+    back = encoded_units(places, model, "places").select("ids", F.explode("places").alias("p")).select("p.block", "p.place", "ids")
     schema = T.StructType([T.StructField("doc_id", kind), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
@@ -390,7 +386,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
         trim()
         return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
-    return packed(narrow).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
+    return packed(narrow, BLOCK_CHARS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def _with_bytes(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
