@@ -21,8 +21,8 @@ def knn_distance(candidates: DataFrame, references: DataFrame, k: int = 10) -> D
     kind = candidates.schema["id"].dataType.simpleString()
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"id": [], "cluster": [], "knn": []})
+        if not len(left):  # references without candidates
+            return pd.DataFrame({"id": np.zeros(0, object), "cluster": np.zeros(0, np.int32), "knn": np.zeros(0)})
         most = min(k, len(right) - 1)
         if most < 1:
             knn = np.zeros(len(left))
@@ -30,7 +30,7 @@ def knn_distance(candidates: DataFrame, references: DataFrame, k: int = 10) -> D
             unit = lambda s: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vec.TINY))(np.stack(s.to_numpy()))
             cost = 1.0 - unit(left["v"]) @ unit(right["w"]).T
             knn = np.sort(np.partition(cost, most - 1, axis=1)[:, :most], axis=1).mean(axis=1)
-        return pd.DataFrame({"id": list(left["id"]), "cluster": list(left["cluster"]), "knn": knn})
+        return pd.DataFrame({"id": pd.Series(list(left["id"]), dtype=object), "cluster": list(left["cluster"]), "knn": knn})
 
     return candidates.select("id", "cluster", "v").groupBy("cluster").cogroup(references.select(F.col("cluster").alias("of"), F.col("v").alias("w")).groupBy("of")).applyInPandas(run, f"id {kind}, cluster int, knn double")
 

@@ -84,7 +84,7 @@ class SelectionPipeline:
         budgets = self._write(budgets.withColumnRenamed("alloc", "n"), f"budgets/round={round_no}")
         vectors = self._read("vectors")
         candidates = able.join(F.broadcast(budgets.select("cluster")), "cluster", "left_semi").select("id", "cluster", "difficulty").join(vectors, "id")
-        references = self._read("references").select("cluster", "id").join(vectors, "id")
+        references = self._read("references").join(F.broadcast(budgets.select("cluster")), "cluster", "left_semi").select("cluster", "id").join(vectors, "id")
         past = self._history_vectors(vectors, round_no)
         scored = candidates.select("id", "cluster", "difficulty").join(sampling.rarity(candidates, references, p["k"]).drop("cluster"), "id").join(sampling.novelty(candidates, past).drop("cluster"), "id")
         scored = scored.withColumn("priority", sampling.priority(F.col("difficulty"), F.col("rarity"), F.col("novelty"), p["c"], p["a"], p["b"]))
