@@ -43,9 +43,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 LONG_UNIT = 64
 #: Characters of text in one go of the cutting.
-PIECE_CHARS = 1 << 20
-#: Characters of text in a block: the larger, the fewer units go to and fro.
-BLOCK_CHARS = 10 << 20
+PIECE_CHARS = 1 << 18
+#: Characters of text in a block: the larger, the fewer units go to and fro, and the more memory a worker needs.
+BLOCK_CHARS = 5 << 20
 UNKNOWN_PENALTY = 10.0
 #: Partitions of units for each shuffle partition.
 PARTS = 10

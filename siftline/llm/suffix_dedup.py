@@ -38,7 +38,7 @@ from .textnum import _TABLE, _power, mix64
 LENGTH = 400
 GRAM = 16
 #: Window starts that are searched for anchors in one go.
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: Bytes of input (as stored) for one bucket of anchors.
 BUCKET_BYTES = 1 << 20
 #: Rows of the table for which the transform is built at a time, as far as single anchors allow.

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes hashed in one go; longer texts go piece by piece, cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _TABLE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +72,7 @@ class Words:
         return start + at, end + at, mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def batches(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, buffer, offsets of its texts and of the end): runs of texts of about ``limit`` bytes."""
     at = 0
     while at < len(texts):
