@@ -50,7 +50,7 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, round, seq, error, value): feedback from events, one row per event; seq orders a sample's feedback."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("id"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("round"), "event_id", "ts", "value", F.least(F.lit(1.0), F.col("value") / 500).alias("error"))
+    return e.select(F.col("user_id").alias("id"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("round"), "event_id", "ts", "value", F.least(F.lit(1.0), F.col("value") / 503).alias("error"))
 
 
 def r6(column, name: str):
@@ -61,7 +61,7 @@ def r6(column, name: str):
 
 S = "SELECT vec_id AS id, coalesce(label, -1)::INT AS cluster, embedding::DOUBLE[] AS v FROM embeddings"
 NOISY = "SELECT vec_id AS id, CASE WHEN label > 7 THEN -1 ELSE coalesce(label, -1) END::INT AS cluster, embedding::DOUBLE[] AS v FROM embeddings"
-EV = "SELECT user_id AS id, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS round, event_id, ts, value, least(1.0::DOUBLE, value / 500) AS error FROM events"
+EV = "SELECT user_id AS id, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS round, event_id, ts, value, least(1.0::DOUBLE, value / 503) AS error FROM events"
 
 
 def mean_sql(source: str, key: str = "") -> str:
