@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import exact_dedup, mixing, ngram_join, quality, sentencepiece_lattice
-from siftline.llm.durable import ensure_checkpoint_dir
+from siftline.llm.durable import durable, ensure_checkpoint_dir
 from siftline.llm.queries import piece_model, table
 
 
@@ -31,16 +31,32 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that near duplicates link (ids are unique by now)."""
-    first = ngram_join.ngram_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group that near duplicates link: that with the smallest id (null before all others), then the smallest hash.
+
+    Rows go by a hash of id and text, not by ``doc_id``, which may be null or repeat. Of rows equal in both one stays, but
+    texts without words are linked with nothing, and all of them stay.
+    """
+    own = docs.withColumn("_row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    linked = ngram_join.ngram_components(own.select(F.col("_row").alias("doc_id"), "text")).dropDuplicates(["doc_id"])
+    ids = own.select("_row", F.col("doc_id").alias("_id")).dropDuplicates(["_row"])
+    first = linked.join(ids, F.col("doc_id") == F.col("_row")).groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("first"), F.max("n_shingles").alias("_n"))
+    first = durable(first.select("first._row", "_n")).select((F.col("_row") + 0).alias("_row"), "_n")
+    numbered = own.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("doc_id")))
+    return numbered.join(first, "_row").filter("_k = 1 or _n = 0").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (up to three times); those that it does not take go."""
-    copies = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    repeated = docs.join(copies, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select(docs.columns)
+    """Documents as often as the mix takes them (up to three times); those that it does not take go.
+
+    Rows of one id, source and size (``doc_id`` may be null or repeat) are alike to the mix: its numbers of copies are dealt to them, the largest first.
+    """
+    like = lambda size: F.struct("doc_id", "source", size.alias("size"))  # noqa: E731  (a struct's null fields are equal)
+    counts = [F.count_if(F.col("copies") >= k).alias(f"_{k}") for k in (1, 2, 3)]
+    copies = durable(mixing.mix(docs).filter("copies > 0").groupBy(like(F.col("size")).alias("_like")).agg(*counts))
+    numbered = docs.withColumn("_like", like(mixing.word_count(F.col("text")))).withColumn("_k", F.row_number().over(Window.partitionBy("_like").orderBy(F.xxhash64("text"))))
+    times = sum((F.col("_k") <= F.col(f"_{k}")).cast("int") for k in (1, 2, 3))
+    repeated = numbered.join(copies, "_like").withColumn("_times", times).filter("_times > 0")
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -458,3 +458,38 @@ def test_exact_stage_with_repeated_rows(spark, edge, sf_dir):
     got = corpus_pipeline.exact(spark, edge, sf_dir)
     bodies = [re.sub(r"[\x20\x09-\x0D]", "", t) for _, t in texts(got)]
     assert len(bodies) == len(set(bodies)) == len({re.sub(r"[\x20\x09-\x0D]", "", t) for _, t in texts(edge)})
+
+
+def test_pipeline_stages_with_repeated_and_null_ids(spark, edge, sf_dir):
+    import corpus_pipeline
+
+    def bodies(df):
+        return {re.sub(r"[\x20\x09-\x0D]", "", t) for _, t in texts(df)}
+
+    scored = quality.score(edge, quality.fit(edge, queries.table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))).collect()
+    accepted = corpus_pipeline.quality_filter(spark, edge, sf_dir)
+    assert Counter((r.doc_id, r.text) for r in accepted.collect()) == Counter((r.doc_id, r.text) for r in scored if r.score >= quality.THRESHOLD)
+
+    exact = corpus_pipeline.exact(spark, edge, sf_dir).persist()
+    close = corpus_pipeline.near(spark, exact, sf_dir)
+    assert close.columns == edge.columns
+    assert sorted(texts(close), key=repr) == sorted(texts(exact), key=repr)  # no near copies, and the null id's text stays
+    copies = Counter((r.doc_id, r.copies, r.source, r.size) for r in mixing.mix(edge).collect())
+    want = Counter()
+    for (doc, n, source, size), rows in copies.items():
+        want[doc, source, size] += n * rows
+    got = corpus_pipeline.mixed(spark, edge, sf_dir)
+    assert got.columns == edge.columns
+    assert Counter((r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in got.collect()) == +want
+    assert Counter(r.doc_id for r in corpus_pipeline.tokens(spark, edge, sf_dir).collect()) == Counter(r.doc_id for r in edge.collect())
+    assert bodies(corpus_pipeline.near(spark, edge, sf_dir)) == bodies(edge)
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 1), (1, text + " end", "en", "a", 2), (1, "another text of one id", "en", "a", 3), (1, text, "en", "a", 1), (None, "of no id", "en", "a", 4), (None, "", "en", "a", 5), (None, "", "en", "a", 5)]
+    repeated = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = Counter(t for _, t in texts(corpus_pipeline.near(spark, repeated, sf_dir)))
+    assert left.pop(text, 0) + left.pop(text + " end", 0) == 1
+    assert left == {"another text of one id": 1, "of no id": 1, "": 2}
+    times = Counter(t for _, t in texts(corpus_pipeline.mixed(spark, repeated.filter("text <> ''"), sf_dir)))
+    assert sum(times.values()) == sum(r.copies for r in mixing.mix(repeated.filter("text <> ''")).collect())
+    assert max(times.values()) <= 6  # twice the text that is there twice
