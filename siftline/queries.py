@@ -194,6 +194,12 @@ def training_prompts(spark, sf_dir):  # P10 P11
     return d.select("doc_id", text.training_prompt("mmlu", F.col("text"), F.col("choices")).alias("mmlu"), text.training_prompt("bbh", F.col("text"), F.lit("")).alias("bbh"), text.training_prompt("", F.col("text"), F.lit("")).alias("plain"))
 
 
+@query(ORACLE_SQL["training_prompts"].replace(" WHERE n_chars < 2000", ""))
+def training_prompts_all(spark, sf_dir):  # P10 P11, of every document
+    d = table(spark, sf_dir, "documents").withColumn("choices", F.to_json(F.array("lang", "source")))
+    return d.select("doc_id", text.training_prompt("mmlu", F.col("text"), F.col("choices")).alias("mmlu"), text.training_prompt("bbh", F.col("text"), F.lit("")).alias("bbh"), text.training_prompt("", F.col("text"), F.lit("")).alias("plain"))
+
+
 @query("""
 SELECT doc_id, source AS origin, CASE WHEN source = 'src1' THEN coalesce(lang, '') ELSE '' END AS input, chr(65 + (doc_id % 4)::INT) AS answer FROM documents
 """)
@@ -534,6 +540,27 @@ def mixed_selection(spark, sf_dir):  # W2 B12 L3 J4 F6
     return sampling.mixed_selection(c, budgets).select("id", "cluster", "picked_by")
 
 
+PICKED = f"(SELECT id, cluster FROM ({ORACLE_SQL['mixed_selection']}))"
+
+
+@query(f"SELECT count(DISTINCT cluster)::DOUBLE / 10.0::DOUBLE AS coverage FROM {PICKED}")
+def cluster_coverage_selected(spark, sf_dir):  # A17, of the selection
+    return diversity.cluster_coverage(mixed_selection(spark, sf_dir), 10)
+
+
+@query(ORACLE_SQL["selection_balance"].replace(f"FROM ({S}) WHERE id % 7 = 0", f"FROM {PICKED}"))
+def selection_balance_selected(spark, sf_dir):  # A18, of the selection
+    counts = mixed_selection(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return diversity.balance(counts).select(r6(F.col("balance"), "balance"))
+
+
+@query(ORACLE_SQL["novelty"].replace(HIST, f"(SELECT v FROM ({S}) WHERE id IN (SELECT id FROM {PICKED}))"))
+def novelty_selected(spark, sf_dir):  # B10 J11 J17, against the selection
+    m = members(spark, sf_dir)
+    history = m.join(mixed_selection(spark, sf_dir).select("id"), "id", "left_semi").select("v")
+    return sampling.novelty(m, history).select("id", "cluster", F.round("novelty", 5).alias("novelty"))
+
+
 @query(f"SELECT doc_id AS id, round({u_sql(42, 'baseline', '0', 'doc_id')}, 9) AS u FROM documents ORDER BY {u_sql(42, 'baseline', '0', 'doc_id')}, doc_id LIMIT 50")
 def random_baseline(spark, sf_dir):  # B13
     return sampling.random_baseline(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), 50).select("id", F.round("u", 9).alias("u"))
@@ -753,6 +780,13 @@ def deep_merge(spark, sf_dir):  # J15
     return d.select(F.explode(merged).alias("key", "value"))
 
 
+@query("SELECT doc_id, 'lang' AS key, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', 'over' FROM documents")
+def deep_merge_all(spark, sf_dir):  # J15, of every document
+    d = table(spark, sf_dir, "documents")
+    merged = F.map_zip_with(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), F.create_map(F.lit("source"), F.lit("over")), lambda k, a, b: F.coalesce(b, a))
+    return d.select("doc_id", F.explode(merged).alias("key", "value"))
+
+
 @query()
 def hash_embedding(spark, sf_dir):  # M1 M2 M3 M4 M5
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -42,3 +42,9 @@ def test_query(spark, sf_dir, sql, name):
     assert sorted(names) == columns
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in result.fetchall())
     assert got == want
+
+
+def test_every_row_takes_part(spark, sf_dir):
+    n = engine.table(spark, sf_dir, "documents").count()
+    assert engine.QUERIES["training_prompts_all"](spark, sf_dir).filter("plain is not null").count() == n
+    assert engine.QUERIES["deep_merge_all"](spark, sf_dir).count() == 2 * n
