@@ -692,6 +692,22 @@ def containment_match(spark, sf_dir):  # F15
     return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", text.contains_match(F.col("target"), F.col("text")).alias("correct"))
 
 
+@query("""
+WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark), n AS (SELECT count(*) AS items FROM benchmark)
+SELECT d.doc_id, b.pos, coalesce(contains(lower(d.text), lower(trim(b.text))) OR contains(lower(b.text), lower(trim(d.text))), false) AS correct
+FROM (SELECT *, coalesce(((doc_id % items) + items) % items, 0) AS pos FROM documents, n) d FULL JOIN b USING (pos)
+""")
+def containment_match_all(spark, sf_dir):  # F15, every document and every item; an item that no document meets has a null doc_id
+    items = table(spark, sf_dir, "benchmark")
+    b = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("pos"), F.col("text").alias("target"))
+    n = items.agg(F.count(F.lit(1)).alias("items"))
+    d = table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).withColumn("at", F.when(F.col("items") > 0, F.coalesce(F.pmod("doc_id", "items"), F.lit(0))))
+    # The items that no document meets come on their own, so that documents are never exchanged.
+    met = d.join(F.broadcast(b), F.col("at") == F.col("pos"), "left").select("doc_id", "pos", F.coalesce(text.contains_match(F.col("target"), F.col("text")), F.lit(False)).alias("correct"))
+    alone = b.join(d.select("at").distinct(), F.col("at") == F.col("pos"), "left_anti").select(F.lit(None).cast("long").alias("doc_id"), "pos", F.lit(False).alias("correct"))
+    return met.unionByName(alone)
+
+
 @query("WITH r AS (SELECT event_id % 2 AS m, event_type, (event_id % 7 > 2)::INT AS ok FROM events) SELECT event_type AS task, round(avg(ok) FILTER (m = 0) * 100, 6) AS method, round(avg(ok) FILTER (m = 1) * 100, 6) AS baseline, round(avg(ok) FILTER (m = 0) * 100 - avg(ok) FILTER (m = 1) * 100, 6) AS delta FROM r GROUP BY event_type")
 def compare_methods(spark, sf_dir):  # J16
     ok = (F.col("event_id") % 7 > 2).cast("int")

@@ -48,3 +48,16 @@ def test_every_row_takes_part(spark, sf_dir):
     n = engine.table(spark, sf_dir, "documents").count()
     assert engine.QUERIES["training_prompts_all"](spark, sf_dir).filter("plain is not null").count() == n
     assert engine.QUERIES["deep_merge_all"](spark, sf_dir).count() == 2 * n
+
+
+def test_containment_of_every_document_and_item(spark, tmp_path):
+    docs = [(None, "No id"), (-3, "has Item C "), (0, "a"), (1, None), (210, "x item a")]
+    items = [(100, "item a"), (7, "item b"), (300, "item c"), (301, "alone"), (302, "last")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((tuple(r) for r in engine.QUERIES["containment_match_all"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, 0, False), (-3, 2, True), (0, 0, False), (1, 1, False), (210, 0, False), (None, 3, False), (None, 4, False)], key=repr)
+    own = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(own.execute(engine.ORACLE_SQL["containment_match_all"]).fetchall(), key=repr) == got
