@@ -453,11 +453,18 @@ def selection_balance(spark, sf_dir):  # A18
 POST_SQL = f"(SELECT cluster, 1.0::DOUBLE + sum(error) AS alpha, 1.0::DOUBLE + sum(1 - error) AS beta, (cluster % 3)::BIGINT AS visits FROM (SELECT (id % 10)::INT AS cluster, error FROM ({EV}) WHERE round < 10) GROUP BY cluster)"
 
 
-def _posteriors(spark, sf_dir):
-    e = events(spark, sf_dir).filter("round < 10").withColumn("cluster", (F.col("id") % 10).cast("int"))
+def _posteriors(spark, sf_dir, rounds: int | None = 10):
+    """Posteriors from the first ``rounds`` rounds, or from all."""
+    e = events(spark, sf_dir).withColumn("cluster", (F.col("id") % 10).cast("int"))
+    e = e if rounds is None else e.filter(F.col("round") < rounds)
     return e.groupBy("cluster").agg((1.0 + F.sum("error")).alias("alpha"), (1.0 + F.sum(1 - F.col("error"))).alias("beta")).withColumn("visits", (F.col("cluster") % 3).cast("bigint"))
 
 
+def of_all_rounds(name: str) -> str:
+    """The SQL of a query that rests on ``POST_SQL``, with all events in it."""
+    return ORACLE_SQL[name].replace(POST_SQL, POST_SQL.replace(" WHERE round < 10", ""))
+
+
 @query(f"SELECT cluster, round(1 + 2 * s, 6) AS alpha, round(1 + 2 * (1 - s), 6) AS beta, 0::BIGINT AS visits FROM (SELECT cluster, count(*)::DOUBLE / 100 AS s FROM ({S}) GROUP BY cluster)")
 def posterior_init(spark, sf_dir):  # B1
     c = members(spark, sf_dir).groupBy("cluster").agg((F.count(F.lit(1)) / 100.0).alias("prior_score"))
@@ -469,6 +476,11 @@ def posterior_stats(spark, sf_dir):  # A11
     return _posteriors(spark, sf_dir).select("cluster", r6(sampling.posterior_mean(), "mean"), r6(sampling.posterior_variance(), "variance"), "visits")
 
 
+@query(of_all_rounds("posterior_stats"))
+def posterior_stats_all(spark, sf_dir):  # A11, of all events
+    return _posteriors(spark, sf_dir, None).select("cluster", r6(sampling.posterior_mean(), "mean"), r6(sampling.posterior_variance(), "variance"), "visits")
+
+
 def gamma_sql(shape: str, name: str, key: str, source: str, seed: int = 42, round_no: int = 3) -> str:
     """Gamma draws (key, g) by the same trials."""
     u = lambda k: f"((0.5 + {u_sql(seed, name, str(round_no), key, 't', str(k))} * 4503599627370496.0) / 4503599627370496.0)"
@@ -489,13 +501,23 @@ def warmup_select(spark, sf_dir):  # B4 F11
     return sampling.thompson_select(_posteriors(spark, sf_dir), 6, 3, warmup_rounds=5).select("cluster", "rank")
 
 
+@query(of_all_rounds("thompson_topk"))
+def thompson_topk_all(spark, sf_dir):  # B2 B3 B5, of all events
+    return sampling.thompson_select(_posteriors(spark, sf_dir, None), 3, 3).select("cluster", r6(F.col("theta"), "theta"), "rank")
+
+
+@query(of_all_rounds("warmup_select"))
+def warmup_select_all(spark, sf_dir):  # B4, of all events
+    return sampling.thompson_select(_posteriors(spark, sf_dir, None), 6, 3, warmup_rounds=5).select("cluster", "rank")
+
+
 BUDGET_IN = f"(SELECT cluster, alpha / (alpha + beta) AS weight, (20 + 11 * (cluster % 4))::BIGINT AS capacity, visits FROM {POST_SQL})"
 SPREAD = """, s AS (SELECT *, greatest(0, room) AS r, {total} - sum(alloc) OVER () AS rest FROM {source})
 SELECT cluster, (alloc + greatest(0, least(r, rest - coalesce(sum(r) OVER (ORDER BY weight DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS alloc FROM s"""
 
 
-def _budget_input(spark, sf_dir):
-    return _posteriors(spark, sf_dir).select("cluster", sampling.posterior_mean().alias("weight"), (20 + 11 * (F.col("cluster") % 4)).cast("bigint").alias("capacity"), "visits")
+def _budget_input(spark, sf_dir, rounds: int | None = 10):
+    return _posteriors(spark, sf_dir, rounds).select("cluster", sampling.posterior_mean().alias("weight"), (20 + 11 * (F.col("cluster") % 4)).cast("bigint").alias("capacity"), "visits")
 
 
 @query(f"WITH i AS (SELECT *, greatest(5, floor(40.0 / count(*) OVER ())) AS base, floor(600.0 / count(*) OVER ()) AS most FROM {BUDGET_IN}), b AS (SELECT *, least(capacity, base) AS a0, 200 - sum(least(capacity, base)) OVER () AS lft, sum(weight) OVER () AS ws FROM i), c AS (SELECT cluster, weight, CASE WHEN lft > 0 THEN least(capacity, a0 + floor(lft * weight / (ws + 1e-12)), most) ELSE a0 END AS alloc, capacity, most FROM b), d AS (SELECT *, least(capacity, most) - alloc AS room FROM c)" + SPREAD.format(total=200, source="d"))
@@ -508,6 +530,16 @@ def budget_adaptive(spark, sf_dir):  # B8 F12
     return sampling.allocate_adaptive(_budget_input(spark, sf_dir), 200)
 
 
+@query(of_all_rounds("budget_allocate"))
+def budget_allocate_all(spark, sf_dir):  # B6, of all events
+    return sampling.allocate(_budget_input(spark, sf_dir, None), 200)
+
+
+@query(of_all_rounds("budget_adaptive"))
+def budget_adaptive_all(spark, sf_dir):  # B8, of all events
+    return sampling.allocate_adaptive(_budget_input(spark, sf_dir, None), 200)
+
+
 SCORED_SQL = KNN_SQL + RARITY_SQL + NOVELTY_SQL + ", g AS (SELECT y.id, y.cluster, rarity, novelty, 0.5 * ((y.id % 11) / 10.0::DOUBLE) + 0.5 * (0.5 * rarity + 0.5 * (1 - (y.id % 11) / 10.0::DOUBLE) * novelty) AS priority FROM y JOIN z USING (id))"
 
 
@@ -630,6 +662,13 @@ def posterior_update(spark, sf_dir):  # A10 K13
     return feedback.updated_posteriors(_posteriors(spark, sf_dir), stats).select("cluster", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"), "visits")
 
 
+@query(f"WITH p AS (SELECT DISTINCT cluster FROM ({S})) SELECT cluster, round(1 + coalesce(gain, 0), 6) AS alpha, round(1 + coalesce(loss, 0), 6) AS beta, 0::BIGINT AS visits FROM p LEFT JOIN {CE} c USING (cluster)")
+def posterior_update_all(spark, sf_dir):  # A10 K13, from the start, so that each event counts once
+    m = members(spark, sf_dir)
+    start = sampling.initial_posteriors(m.select("cluster").distinct())
+    return feedback.updated_posteriors(start, feedback.cluster_errors(events(spark, sf_dir), m)).select("cluster", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"), "visits")
+
+
 @query(f"WITH r AS (SELECT id, error, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM ({EV})) SELECT id, round(sum(error * (1 - 0.7::DOUBLE) * pow(0.7::DOUBLE, age)) + 0.5 * pow(0.7::DOUBLE, count(*)), 6) AS difficulty FROM r GROUP BY id")
 def difficulty_ema(spark, sf_dir):  # W6
     return feedback.difficulties(_ordered(spark, sf_dir)).select("id", r6(F.col("difficulty"), "difficulty"))

@@ -61,3 +61,11 @@ def test_containment_of_every_document_and_item(spark, tmp_path):
     for t in ("documents", "benchmark"):
         own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(own.execute(engine.ORACLE_SQL["containment_match_all"]).fetchall(), key=repr) == got
+
+
+def test_posteriors_count_every_event_once(spark, sf_dir):
+    events, members = engine.events(spark, sf_dir), engine.members(spark, sf_dir)
+    weight = engine._posteriors(spark, sf_dir, None).selectExpr("sum(alpha + beta - 2)").first()[0]
+    assert weight == pytest.approx(events.count())
+    weight = engine.QUERIES["posterior_update_all"](spark, sf_dir).selectExpr("sum(alpha + beta - 2)").first()[0]
+    assert weight == pytest.approx(events.join(members, "id").count(), abs=1e-4)
