@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs are lines. A multinomial logistic regression on the sparse word n-grams (n = 1, 2, 3) of a paragraph names
+Paragraphs are lines, and notices that go on over several consecutive lines or share a line with another. A multinomial logistic regression on the sparse word n-grams (n = 1, 2, 3) of a paragraph names
 one of the licence families or none of them ("unknown"); it is trained on the templates below, on variants of
 them made by rule, and on ordinary text. Its probabilities are calibrated by a temperature, and the probability that a
 family needs against the unknown class is set on held-back negatives. A family then counts only
 if a template of that family confirms it: most of the template's word bigrams are in the paragraph.
 
+After the lines, each template is looked for in every run of consecutive lines with words, whatever their ends; the
+same classifier judges the words that it spans alone, so wrapped notices and several families in a line are found.
+
 Features outside the training vocabulary have no weight, so a paragraph without any known n-gram is unknown whatever
 else it says; only the others are scored in full.
 
@@ -99,15 +102,53 @@ class Model:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def spans(self, h: np.ndarray, line: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
+        """(first word, last word, doc, class, probability, share) of notices anywhere in runs of consecutive lines, also across their ends."""
+        if len(h) < 2:
+            return []
+        run = np.cumsum(np.concatenate([[0], (np.diff(line) > 1) | (np.diff(doc) != 0)]))
+        grams = mix64(np.uint64(2) + h[:-1] * _LINK[0] + h[1:] * _LINK[1])
+        every = np.unique(np.concatenate([t for _, t in self.templates]))
+        at = np.minimum(np.searchsorted(every, grams), len(every) - 1)
+        hits = np.flatnonzero((every[at] == grams) & (run[1:] == run[:-1]))
+        out = []
+        for c, t in self.templates:
+            need = int(np.ceil(CONFIRM * len(t) - 1e-9))
+            own = hits[np.isin(grams[hits], t)]
+            close = np.zeros(0, np.int64)
+            if len(own) >= need:  # places from which enough hits follow within twice the notice's length
+                close = np.flatnonzero((own[need - 1 :] - own[: len(own) - need + 1] <= 2 * len(t)) & (run[own[need - 1 :]] == run[own[: len(own) - need + 1]]))
+            after = -1
+            for k in close:
+                if own[k] <= after:
+                    continue
+                inside = own[k : int(np.searchsorted(own, own[k] + len(t) + need, side="right"))]
+                inside = inside[run[inside] == run[own[k]]]
+                share = len(np.unique(grams[inside])) / len(t)
+                if share < CONFIRM:
+                    continue
+                last = int(inside[-1]) + 1
+                words = h[own[k] : last + 1]
+                found = np.unique(np.concatenate([ngrams(words, np.zeros(len(words), np.int64), n)[0] for n in (1, 2, 3)]))
+                place, ok = self.found(found)
+                p = self.probabilities(self.weights[place[ok]].sum(axis=0)[None])[0]
+                if p[1:].argmax() + 1 == c and p[c] >= self.threshold:
+                    out.append((int(own[k]), last, int(doc[own[k]]), c, float(p[c]), share))
+                    after = last
+        return out
+
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, float, float]]]:
         """Per text (family, probability, share of the confirming template), one for each licence paragraph."""
         out: list[list[tuple[str, float, float]]] = [[] for _ in texts]
         for first, raw, offsets in batches(texts):
             words, line = _paragraph_words(raw)
             _, hit = self.found(ngrams(words.hash, np.zeros_like(line), 1)[0])
+            doc_of = np.searchsorted(offsets, words.start, side="right") - 1
             known = np.bincount(line[hit], minlength=int(line[-1]) + 1 if len(line) else 0)
             keep = known[line] >= 2 if len(line) else np.zeros(0, bool)
-            if not keep.any():
+            whole: set[tuple[int, int]] = set()  # line and class of the notices that one line holds
+            spans = self.spans(words.hash, line, doc_of)
+            if not keep.any() and not spans:
                 continue
             h, ln = words.hash[keep], line[keep]
             lines, ln = np.unique(ln, return_inverse=True)
@@ -129,6 +170,13 @@ class Model:
                 if share >= CONFIRM:
                     doc = int(np.searchsorted(offsets, newline[lines[k]] + 1, side="right")) - 1
                     out[first + doc].append((CLASSES[best[k]], float(p[k, best[k]]), float(share)))
+                    whole.add((int(lines[k]), int(best[k])))
+            taken: list[tuple[int, int, int]] = []
+            for a, b, doc, c, probability, share in sorted(spans, key=lambda x: (-x[5], x[0])):
+                if any((n, c) in whole for n in range(int(line[a]), int(line[b]) + 1)) or any(k == c and a <= y and x <= b for x, y, k in taken):
+                    continue
+                taken.append((a, b, c))
+                out[first + doc].append((CLASSES[c], probability, share))
         return out
 
 
@@ -193,7 +241,7 @@ def scan(docs: DataFrame, rows: int = 500, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, n_licences (paragraphs), families, family (most probable), probability, template_share.
 
     At most ``rows`` documents, chosen by hash among those of up to 20,000 code points, give the ordinary
-    paragraphs for fitting; every text is scanned whole.
+    paragraphs for fitting, 4000 at most; every text is scanned whole.
     """
     # Ids first, from the one column: a sort that carried texts would send some from every partition to the driver.
     chosen = docs.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows).distinct()

@@ -275,6 +275,26 @@ def test_licences(spark, edge, empty):
     assert licences.scan(empty).count() == 0
 
 
+def test_wrapped_and_several_licences(spark):
+    import textwrap
+
+    long = {"GPL": licences.TEMPLATES["GPL"][1], "BSD": licences.TEMPLATES["BSD"][1], "ISC": licences.TEMPLATES["ISC"][0], "MIT": licences.TEMPLATES["MIT"][2]}
+    want, rows = {}, []
+    for family, notice in long.items():
+        for width in (40, 60, 72):
+            for prefix in ("", " * "):
+                want[len(rows)] = [family]
+                rows.append((len(rows), textwrap.fill(notice, width, initial_indent=prefix, subsequent_indent=prefix)))
+    want[100], want[101], want[102] = ["Apache-2.0", "MIT"], [], ["BSD"]
+    rows.append((100, "Released under the MIT License. Licensed under the Apache License, Version 2.0."))
+    rows.append((101, "Redistribution and use in source\n\nand binary forms, with or without\n\nmodification, are permitted provided\n\nthat the following"))
+    rows.append((102, "Some prose first.\n" + textwrap.fill(long["BSD"], 72) + "\nMore prose follows here."))
+    rows += [(200 + k, textwrap.fill(t, 30)) for k, t in enumerate(licences.NEGATIVES)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {k: got[k].families for k in got} == {k: want.get(k, []) for k in got}
+    assert all(got[k].n_licences == len(want.get(k, [])) for k in got)
+
+
 # ---- 8 ----
 
 
