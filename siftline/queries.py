@@ -122,6 +122,20 @@ def csv_round_trip(spark, sf_dir):  # S5
     return readers.read_csv(spark, path, "page_id long, url string")
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_round_trip_all(spark, sf_dir):  # S2 S9 K9, with the texts
+    path = _scratch(spark, "jsonl")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return readers.read_jsonl(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@query("SELECT page_id, url, html FROM pages")
+def csv_round_trip_all(spark, sf_dir):  # S5, with the pages; quotes are escaped as the reader expects
+    path = _scratch(spark, "csv")
+    table(spark, sf_dir, "pages").select("page_id", "url", "html").write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_csv(spark, path, "page_id long, url string, html string")
+
+
 @query("SELECT item_id, text FROM benchmark")
 def json_container(spark, sf_dir):  # S3
     path = _scratch(spark, "json")
@@ -346,7 +360,7 @@ def subdivided_clusters(spark, sf_dir):  # M18
 @query()
 def pca_reduced(spark, sf_dir):  # M6 A24
     reduced, share = clusters.reduce_dimensions(members(spark, sf_dir), 8)
-    return reduced.select("id", F.size("v").alias("dims"), F.lit(round(sum(share), 4)).alias("explained"))
+    return reduced.select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.round(x, 6)).alias("v"), F.lit(round(sum(share), 4)).alias("explained"))
 
 
 # ---- compression, neighbours ----
@@ -845,7 +859,7 @@ def deep_merge_all(spark, sf_dir):  # J15, of every document
 @query()
 def hash_embedding(spark, sf_dir):  # M1 M2 M3 M4 M5
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return embedding.embed(texts, embedding.HashEncoder(64)).select("id", F.size("embedding").alias("dims"))
+    return embedding.embed(texts, embedding.HashEncoder(64)).select("id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query(f"SELECT cluster, count(*) AS size, bool_or(id % 7 = 0) AS selected FROM ({S}) GROUP BY cluster")
@@ -855,10 +869,16 @@ def plot_data(spark, sf_dir):  # M21
 
 # ---- streaming ----
 
-def _streamed(spark: SparkSession, df: DataFrame, run: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a streaming query over the rows of ``df``, written as files, to its end; what it has put out."""
+def _streamed(spark: SparkSession, df: DataFrame, run: Callable[[DataFrame], DataFrame], mode: str, batches: list | None = None) -> DataFrame:
+    """Run a streaming query over the rows of ``df``, written as files, to its end; what it has put out.
+
+    With ``batches``, conditions that share out the rows, each batch is a file, and the files arrive in this order.
+    """
     folder = _scratch(spark, "stream")
-    df.repartition(3).write.parquet(f"{folder}/in")
+    if batches is None:
+        df.repartition(3).write.parquet(f"{folder}/in")
+    for batch in batches or []:
+        df.filter(batch).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     done = run(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     out = f"{folder}/out"
@@ -882,6 +902,15 @@ def stream_retirement(spark, sf_dir):  # W4 as a stream
     return got.groupBy("id").agg(F.max("n").alias("n"))
 
 
+@query(STREAK_SQL + f" SELECT id, arg_max(t.streak::BIGINT, (e.ts, event_id)) AS streak, bool_or(t.retired) AS retired, count(*) AS n FROM t JOIN (SELECT event_id, ts FROM ({EV})) e USING (event_id) GROUP BY id")
+def stream_retirement_states(spark, sf_dir):  # W4 as a stream, each sample's state at the end
+    e = events(spark, sf_dir).select("id", F.row_number().over(Window.partitionBy("id").orderBy("ts", "event_id")).cast("long").alias("round"), "error", F.col("round").alias("day"))
+    batches = [F.col("day") < 10, F.col("day").between(10, 19), (F.col("day") >= 20) | F.col("day").isNull()]
+    got = _streamed(spark, e, lambda s: streaming.stream_retirement(s, 0.1, 2), "update", batches)
+    last = got.groupBy("id").agg(F.max_by(F.struct("streak", "retired", "n"), "_batch").alias("s"))
+    return last.select("id", "s.*")
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def windowed_feedback(spark, sf_dir):  # extension of section 2.14
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from siftline import queries as engine
 
@@ -69,3 +70,17 @@ def test_posteriors_count_every_event_once(spark, sf_dir):
     assert weight == pytest.approx(events.count())
     weight = engine.QUERIES["posterior_update_all"](spark, sf_dir).selectExpr("sum(alpha + beta - 2)").first()[0]
     assert weight == pytest.approx(events.join(members, "id").count(), abs=1e-4)
+
+
+def test_vectors_and_states_are_returned(spark, sf_dir):
+    assert engine.QUERIES["hash_embedding"](spark, sf_dir).select("embedding").distinct().count() > 1
+    assert engine.QUERIES["pca_reduced"](spark, sf_dir).select("v").distinct().count() > 1
+    batch = engine.QUERIES["retirement_streak"](spark, sf_dir).groupBy("id").agg(F.max("retired").alias("retired"))
+    states = engine.QUERIES["stream_retirement_states"](spark, sf_dir)
+    assert sorted(states.select("id", "retired").collect()) == sorted(batch.collect())
+
+
+def test_csv_round_trip_of_quotes_and_lines(spark, tmp_path):
+    rows = [(1, "u", 'a "quote", a comma\nand a line'), (2, "v", ' <p class="x">\\</p>\r\n ')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(tuple(r) for r in engine.QUERIES["csv_round_trip_all"](spark, str(tmp_path)).collect()) == rows
