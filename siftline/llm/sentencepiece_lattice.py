@@ -11,14 +11,17 @@ gives short units; the distinct units are encoded once each:
   (its scores are ranks of merges), so its edges are folded in the order of their rank: an edge
   joins two neighbouring symbols if it covers just those.
 
-Every block of documents then gets its own units' encodings back and puts its texts together; decoding is the
-reverse, piece by piece. Two kinds of units leave the fold and are encoded one at a time by
-the same rules: units longer than ``LONG_UNIT``, for which the fold's copies of its state would cost
-a square of the length, and, in BPE models, runs of spaces, whose pieces share one score.
+Most of a text are a few common units. Those of a sample of the documents are encoded first, by the same lattice, and
+their encodings (``COMMON_UNITS`` at most) are broadcast, so that only the rest travels: each block of documents sends
+its other units to the lattice and gets their encodings back. The sample decides where a unit is looked up, never its encoding.
+
+Blocks then put their texts together; decoding is the reverse, piece by piece. Two kinds of units leave the fold
+and are encoded one at a time by the same rules: units longer than ``LONG_UNIT``, for which the fold's copies of its state would
+cost a square of the length, and, in BPE models, runs of spaces, whose pieces share one score.
 
 Defined cases: null and empty texts have no pieces. Characters without a piece become byte pieces where the model has
 them, else the unknown id. U+2581 in a text is decoded as a space, as in the library. Rows that
-repeat give equal results. Extra columns are ignored.
+repeat give equal results, and a null ``doc_id`` is kept. An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +52,11 @@ BLOCK_CHARS = 5 << 20
 UNKNOWN_PENALTY = 10.0
 #: Partitions of units for each shuffle partition.
 PARTS = 10
+#: Bytes of documents (as stored) from which the common units are taken, and how many of them are broadcast at most (about 30 bytes each).
+SAMPLE_BYTES = 16 << 20
+COMMON_UNITS = 1 << 18
+#: In a fold's result, a character that is no part of a longer piece: this plus its code point.
+CHARACTER = 1 << 30
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -94,7 +102,7 @@ class Model:
         self.longest = max((len(p) for p in self.ids), default=1)
         self.lowest = min((s for s, n in zip(self.scores, self.normal, strict=True) if n), default=0.0)
         chars = sorted({c for p in self.ids if len(p) > 1 for c in p})
-        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes = np.zeros(0x110000, np.int32)
         self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.pairs = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         for p in self.ids:
@@ -197,19 +205,42 @@ class Model:
         whole = "".join(marked)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.concatenate([[0], np.cumsum([len(m) for m in marked])])
-        kinds = self.classes[codes]
+        kinds = self.classes.take(codes)
         begins = np.ones(len(codes) + 1, bool)
-        begins[1:-1] = ~self.pairs[kinds[:-1], kinds[1:]]
+        np.logical_not(self.pairs.ravel().take(kinds[:-1] * len(self.pairs) + kinds[1:]), out=begins[1:-1])
         begins[first] = True
         starts = np.flatnonzero(begins)
         total = np.zeros(len(codes) + 1, np.uint64)
         up, down = _powers(len(codes) + 1)
-        np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(7)) * up[: len(codes)], out=total[1:])
-        a, b = starts[:-1], starts[1:]
-        return whole, starts, mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), np.searchsorted(starts, first)
+        np.cumsum(_noise().take(codes) * up[: len(codes)], out=total[1:])
+        upto, size = total[starts], np.diff(starts).astype(np.uint64)
+        return whole, starts, mix64(np.diff(upto) * down[starts[:-1]] + size), np.searchsorted(starts, first)
+
+    def hash_of(self, unit: str) -> int:
+        """The hash that ``cut`` gives a unit."""
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        up, _ = _powers(len(codes) + 1)
+        return int(mix64(np.array([(_noise().take(codes) * up[: len(codes)]).sum(dtype=np.uint64) + np.uint64(len(codes))]))[0])
+
+    def by_lattice(self, unit: str) -> bool:
+        """Whether a unit is one for the lattice; the others are encoded where they stand."""
+        return self.shortest <= len(unit) <= LONG_UNIT and not (self.kind == BPE and SPACE * 2 in unit)
+
+    @property
+    def shortest(self) -> int:
+        """Characters of the shortest edge: in BPE models single characters are no merges."""
+        return 2 if self.kind == BPE else 1
 
 
 _cache: list[np.ndarray] = []
+_characters: list[np.ndarray] = []
+
+
+def _noise() -> np.ndarray:
+    """A 64-bit number for each code point."""
+    if not _characters:
+        _characters.append(mix64(np.arange(7, 0x110000 + 7, dtype=np.uint64)))
+    return _characters[0]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,75 +263,130 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _unit_hashes(model: Model, texts: list[str | None]) -> np.ndarray:
-    parts = [np.unique(model.cut(texts[a:b])[2]) for a, b in _parts(texts)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+class Common:
+    """Encodings that every worker has: row k has ``ids[starts[k] : starts[k + 1]]`` for the unit of ``hashes[k]``."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+        self.hashes, self.starts, self.ids, self.index = hashes, starts, ids, None
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        if self.index is None:
+            self.index = pd.Index(self.hashes)
+        return self.index.get_indexer(hashes) if len(self.hashes) else np.full(len(hashes), -1)
+
+
+NO_UNITS = Common(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+
+class _Cut:
+    """The units of a block's texts: per part the number of each unit among the part's distinct ones, their rows in ``common``, and the texts' first units."""
+
+    def __init__(self, model: Model, common: Common, texts: list[str | None], count: bool = False):
+        self.parts, self.others, self.counts = [], {}, {}
+        for a, b in _parts(texts):
+            whole, starts, h, first = model.cut(texts[a:b])
+            number, own = pd.factorize(h)
+            row = common.rows(own)
+            at = np.empty(len(own), np.int64)
+            at[number[::-1]] = np.arange(len(h) - 1, -1, -1)  # where each stands first
+            for k in np.flatnonzero(row < 0).tolist():
+                if (x := int(own[k])) not in self.others:
+                    self.others[x] = whole[starts[at[k]] : starts[at[k] + 1]]
+            if count:
+                for x, n in zip(own.tolist(), np.bincount(number, minlength=len(own)).tolist(), strict=True):
+                    self.counts[x] = self.counts.get(x, 0) + n
+            else:
+                self.parts.append((number.astype(np.int32), own, row, first))
+
+    def lattice(self, model: Model) -> list[int]:
+        """Hashes of the units for the lattice, in order."""
+        return sorted(x for x, unit in self.others.items() if model.by_lattice(unit))
+
+
+def _clean(unit: str) -> str:
+    return unit.encode("utf-8", "replace").decode()
 
 
 UNITS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("unit", pa.string())])
 
 
-def _units(shared):
-    """Distinct units of each block, numbered in the order of their hashes."""
+def _units(shared, common):
+    """Distinct units of each block that are not in ``common``, numbered in the order of their hashes."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for block, _, texts in blocks(frames, BLOCK_CHARS):
-            found: dict[int, str] = {}
-            hashes = []
-            for a, b in _parts(texts):
-                whole, starts, h, _ = model.cut(texts[a:b])
-                own, at = np.unique(h, return_index=True)
-                hashes.append(own)
-                for x, s, e in zip(own.tolist(), starts[at].tolist(), starts[at + 1].tolist(), strict=True):
-                    if x not in found:
-                        found[x] = whole[s:e]
-            order = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+            cut = _Cut(shared.value, common.value, texts)
+            order = cut.lattice(shared.value)
             for k in range(0, len(order), 100_000):
                 part = order[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array([found[x].encode("utf-8", "replace").decode() for x in part.tolist()], pa.string())], schema=UNITS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array([_clean(cut.others[x]) for x in part], pa.string())], schema=UNITS)
             trim()
 
     return run
 
 
-def encoded_units(units: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """(unit, *carried, ids) for distinct units: the lattice and its fold, in one pass.
+def _counted(shared):
+    """Units for the lattice and how often each block has them, if more than once."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in blocks(frames, BLOCK_CHARS):
+            cut = _Cut(shared.value, NO_UNITS, texts, count=True)
+            found = [(cut.others[x], n) for x, n in cut.counts.items() if n > 1 and shared.value.by_lattice(cut.others[x])]
+            yield pa.RecordBatch.from_arrays([pa.array([_clean(u) for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["unit", "n"])
+            trim()
+
+    return run
+
 
-    Single characters of a BPE lattice are no edges; they end as -2 - code point, and get their piece or bytes later.
+def common_units(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES, most: int = COMMON_UNITS) -> Common:
+    """The encodings of the units that are most frequent in a sample of the documents; bounded by ``most``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = docs.select("doc_id", "text")
+    if stored > sample_bytes:
+        part = part.sample(sample_bytes / stored, seed=11)
+    counts = part.mapInArrow(_counted(shared), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "unit").limit(most).select("unit").repartition(shuffle_width(spark), "unit")
+    found = encoded_units(top, model).toArrow()
+    lists = found["ids"].combine_chunks()
+    ids, starts = _resolved(model, np.array(lists.values, np.int32), np.array(lists.offsets, np.int64))
+    hashes = np.zeros(len(found), np.uint64)
+    for k, unit in enumerate(found["unit"].to_pylist()):
+        hashes[k] = model.hash_of(unit)
+    return Common(hashes, starts, ids)
+
+
+def encoded_units(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, ids) for distinct units: the lattice and its fold. BPE units without any edge are left out.
+
+    ``units`` should be partitioned by unit. Characters of a BPE lattice that are in no merge are ``CHARACTER`` plus their code point.
     """
-    spark = units.sparkSession
-    rows = [(p, k, model.scores[k]) for p, k in model.ids.items()]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]).astype({"id": "int32"})).withColumn("id", F.col("id").cast("int"))
+    bpe = model.kind == BPE
+    rows = pd.DataFrame([(p, k, model.scores[k]) for p, k in model.ids.items()], columns=["piece", "id", "score"])
+    # A merge as one number, so that numbers are sorted in the order of merging: rank, start, end (7 bits each), id (25 bits).
+    rows["merge"] = (np.unique(-rows["score"], return_inverse=True)[1].astype(np.int64) << 39) + rows["id"]
+    table = units.sparkSession.createDataFrame(rows).withColumn("id", F.col("id").cast("int"))
     length = F.char_length("unit")
-    special = (length > LONG_UNIT) | (F.col("unit").contains(SPACE * 2) if model.kind == BPE else F.lit(False))
-    shortest = 2 if model.kind == BPE else 1
-    no_spans = F.array().cast("array<struct<s:int,e:int,piece:string>>")
-    spans = F.when(special | (length < shortest), no_spans).otherwise(F.flatten(F.transform(
-        F.sequence(F.lit(0), length - shortest),
-        lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(model.longest), length - s)), lambda n: F.struct(s.cast("int").alias("s"), (s + n).cast("int").alias("e"), F.substring(F.col("unit"), s + 1, n).alias("piece"))),
-    )))
-    substrings = units.select("unit", *carried, F.explode_outer(spans).alias("x")).select("unit", *carried, "x.s", "x.e", "x.piece")
-    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus. The first substring of a unit stays
-    # whether or not it is a piece, so that no unit is lost; a single character without a piece is an edge of a unigram lattice.
-    joined = substrings.join(F.broadcast(table), "piece", "left").filter(F.col("id").isNotNull() | F.col("s").isNull() | ((F.col("s") == 0) & (F.col("e") == shortest)) | (F.col("e") == F.col("s") + 1))
-    if model.kind == BPE:
-        edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("rank"), "s", "e", "id"))
-    else:
-        edge = F.when(F.col("s").isNotNull(), F.struct("e", "s", F.coalesce("score", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), "id"))
-    lattices = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in carried])
-    fold = merge_fold if model.kind == BPE else viterbi_fold
-    folded = lattices.withColumn("cuts", F.when(special | (length < 2), F.array(F.lit(0), length)).otherwise(fold(F.col("edges"), length)))
-    code = lambda at: (-2 - F.ascii(F.substring(F.col("unit"), at + 1, F.lit(1)))).cast("int")
-    ids = F.transform(
-        F.sequence(F.lit(0), F.size("cuts") - 2),
-        lambda k: F.when(F.get(F.col("cuts"), k + 1) == F.get(F.col("cuts"), k) + 1, code(F.get(F.col("cuts"), k))).otherwise(
-            F.get(F.filter(F.col("edges"), lambda x: (x["s"] == F.get(F.col("cuts"), k)) & (x["e"] == F.get(F.col("cuts"), k + 1))), F.lit(0))["id"]
-        ),
-    )
-    shared = spark.sparkContext.broadcast(model)
-    one_by_one = F.pandas_udf(lambda u: u.map(lambda x: None if x is None else shared.value.encode_unit(x)), T.ArrayType(T.IntegerType()))
-    return folded.select("unit", *carried, F.coalesce(one_by_one(F.when(special, F.col("unit"))), ids).alias("ids"))
+    ends = F.sequence(F.lit(model.shortest), F.least(F.lit(model.longest), length - F.col("s")))
+    starts = units.filter(length >= model.shortest).select("unit", F.explode(F.sequence(F.lit(0), length - model.shortest)).alias("s"))
+    substrings = starts.select("unit", "s", F.explode(ends).alias("n")).select("unit", "s", (F.col("s") + F.col("n")).alias("e"), F.substring(F.col("unit"), F.col("s") + 1, F.col("n")).alias("piece"))
+    # The model has a fixed number of pieces, so its broadcast does not grow with the corpus.
+    if bpe:
+        joined = substrings.join(F.broadcast(table.select("piece", "merge")), "piece")
+        edge = F.col("merge") + F.shiftleft(F.col("s").cast("long"), 32) + F.shiftleft(F.col("e").cast("long"), 25)
+    else:  # a character without a piece is an edge, too
+        joined = substrings.join(F.broadcast(table.select("piece", "id", "score")), "piece", "left").filter((F.col("e") == F.col("s") + 1) | F.col("id").isNotNull())
+        edge = F.struct("e", "s", F.coalesce("score", F.lit(model.lowest - UNKNOWN_PENALTY)).alias("score"), "id")
+    lattices = joined.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    if bpe:
+        return lattices.select("unit", merge_fold(F.col("edges"), F.col("unit")).alias("ids"))
+    cuts = lattices.withColumn("cuts", viterbi_fold(F.col("edges"), length))
+    code = lambda at: F.ascii(F.substring(F.col("unit"), at + 1, F.lit(1))) + CHARACTER
+    span = lambda k: F.get(F.filter("edges", lambda x: (x["s"] == F.get("cuts", k)) & (x["e"] == F.get("cuts", k + 1))), F.lit(0))["id"]
+    ids = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda k: F.coalesce(span(k), code(F.get("cuts", k))))
+    return cuts.select("unit", ids.cast("array<int>").alias("ids"))
 
 
 def viterbi_fold(edges: Column, length: Column) -> Column:
@@ -318,87 +404,110 @@ def viterbi_fold(edges: Column, length: Column) -> Column:
     return F.transform(F.array(best), walk)[0]
 
 
-def merge_fold(edges: Column, length: Column) -> Column:
-    """Cuts after all merges. ``edges`` (rank, s, e, id) in the order of rank, then from the left."""
-
-    def step(cuts: Column, x: Column) -> Column:
-        inside = F.filter(cuts, lambda c: (c >= x["s"]) & (c <= x["e"]))
-        joins = (F.size(inside) == 3) & (F.get(inside, F.lit(0)) == x["s"]) & (F.get(inside, F.lit(2)) == x["e"])
-        return F.when(joins, F.array_remove(cuts, F.get(inside, F.lit(1)))).otherwise(cuts)
+def merge_fold(edges: Column, unit: Column) -> Column:
+    """Ids after all merges. ``edges`` are numbers (rank, start, end, id), sorted.
 
-    return F.aggregate(edges, F.sequence(F.lit(0), length).cast("array<int>"), step)
+    The state has an entry for each character: the end of the symbol that begins there (0 if none does) above 32 bits of its id.
+    """
+    end = lambda symbol: F.shiftright(symbol, 32)
+    field = lambda x, at, bits: F.shiftright(x, at).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def step(symbols: Column, x: Column) -> Column:
+        start, stop = field(x, 32, 7).cast("int"), field(x, 25, 7)
+        middle = end(F.get(symbols, start)).cast("int")
+        joined = F.shiftleft(stop, 32) + x.bitwiseAND(F.lit((1 << 25) - 1))
+        merged = F.transform(symbols, lambda symbol, k: F.when(k == start, joined).when(k == middle, F.lit(0).cast("long")).otherwise(symbol))
+        return F.when((middle > 0) & (end(F.get(symbols, middle)) == stop), merged).otherwise(symbols)
+
+    characters = F.transform(
+        F.sequence(F.lit(1), F.char_length(unit)),
+        lambda k: F.shiftleft(k.cast("long"), 32) + F.ascii(F.substring(unit, k, F.lit(1))) + CHARACTER,
+    )
+    symbols = F.filter(F.aggregate(edges, characters, step), lambda symbol: symbol != 0)
+    return F.transform(symbols, lambda symbol: symbol.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+
+
+def _resolved(model: Model, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids with the ids of single characters, which may be several byte pieces, in place of their code points."""
+    single = np.flatnonzero(ids >= CHARACTER)
+    ids = ids.copy()
+    points = ids[single] - CHARACTER
+    ids[single] = model.singles[points]
+    several = ids[single] < 0
+    if not several.any():
+        return ids, starts
+    parts, added, last = [], np.zeros(len(ids), np.int64), 0
+    for k, point in zip(single[several].tolist(), points[several].tolist(), strict=True):
+        new = model.without_piece(chr(point))
+        parts += [ids[last:k], np.array(new, np.int32)]
+        added[k] = len(new) - 1
+        last = k + 1
+    grown = np.concatenate([[0], np.cumsum(added)])
+    return np.concatenate([*parts, ids[last:]]), starts + grown[starts]
 
 
 ENCODED = T.StructType([*fields("n_bytes long, n_pieces long").fields, T.StructField("ids", T.BinaryType())])
 
 
-def encode(docs: DataFrame, model: Model) -> DataFrame:
+def encode(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_pieces, ids (32-bit little-endian numbers in one binary)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType
+    spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
-    units = narrow.mapInArrow(_units(shared), "block long, place int, unit string")
-    # One exchange by unit serves both the lattice and the way back; both read all its columns, so that it is the same.
-    # Many small partitions: places and edges of one are grouped in memory, without being sorted (see memory.small_batches).
-    # A unit's places (one for each block that has it) go along, so that the units are cut, exchanged and read only once.
-    placed = units.repartition(PARTS * shuffle_width(docs.sparkSession), "unit")
-    places = placed.groupBy("unit").agg(F.collect_list(F.struct("block", "place")).alias("places"))
-    back = encoded_units(places, model, "places").select("ids", F.explode("places").alias("p")).select("p.block", "p.place", "ids")
-    schema = T.StructType([T.StructField("doc_id", kind), *ENCODED.fields])
+    shared, common = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(common_units(narrow, model, sample_bytes))
+    # One exchange by unit serves both the lattice and the way back: the lattice's input names all its columns, so that it stays the same.
+    # Many small partitions: edges of one are grouped in memory, without being sorted (see memory.small_batches).
+    placed = narrow.mapInArrow(_units(shared, common), "block long, place int, unit string").repartition(PARTS * shuffle_width(spark), "unit")
+    units = placed.groupBy("unit").agg(F.max("place").alias("last"), F.count("block").alias("n")).filter("last >= 0 and n > 0").select("unit")
+    back = placed.join(encoded_units(units, model).hint("shuffle_hash"), "unit", "left").select("block", "place", "ids")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
-        model = shared.value
-        places = own["place"].to_numpy()
-        lists = own["ids"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.combine_chunks()
-        offsets, flat = np.asarray(lists.offsets), lists.values
-        values = np.array(flat).astype(np.int32)
-        single = values < -1
-        values[single] = np.where(model.singles[-2 - values[single]] >= 0, model.singles[-2 - values[single]], values[single])
-        n_places = int(places.max()) + 1 if len(places) else 0
-        where = np.full(n_places, -1, np.int64)
-        where[places] = np.arange(len(places))
-        size = np.diff(offsets)
-        parts = []
-        for payload in texts["payload"].to_pylist():
-            table = unpacked(payload)
-            own_texts = table["text"].to_pylist()
-            order = _unit_hashes(model, own_texts)
-            if len(order) != n_places or (where < 0).any():
-                raise RuntimeError("the units of a block are not those that were encoded")
-            out = []
-            for a, b in _parts(own_texts):
-                whole, starts, h, first = model.cut(own_texts[a:b])
-                row = where[np.searchsorted(order, h)]
-                n = size[row]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                take = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(offsets[row], n)
-                ids = values[take]
-                if (ids < 0).any():  # characters without a piece: several bytes take the place of one
-                    ids, ends = _with_bytes(model, ids, ends)
-                edges = ends[first]
-                out += [ids[x:y].astype("<i4").tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            parts.append(pa.table({
-                "doc_id": table["doc_id"], "n_bytes": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in own_texts], pa.int64()),
-                "n_pieces": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary()),
-            }))
+        parts = [_assembled(shared.value, common.value, unpacked(payload), own) for payload in texts["payload"].to_pylist()]
         trim()
         return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     return packed(narrow, BLOCK_CHARS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def _with_bytes(model: Model, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Put the byte pieces where a character has no piece, and move the ends of the units accordingly."""
-    parts, added, last = [], np.zeros(len(ids), np.int64), 0
-    for k in np.flatnonzero(ids < 0).tolist():
-        new = model.without_piece(chr(-2 - int(ids[k])))
-        parts += [ids[last:k], np.array(new, np.int32)]
-        added[k] = len(new) - 1
-        last = k + 1
-    grown = np.concatenate([[0], np.cumsum(added)])
-    return np.concatenate([*parts, ids[last:]]), ends + grown[ends]
+def _assembled(model: Model, common: Common, block: pa.Table, own: pa.Table) -> pa.Table:
+    """The encodings of a block's texts; ``own`` has (place, ids) of the units that went to the lattice."""
+    texts = block["text"].to_pylist()
+    cut = _Cut(model, common, texts)
+    order = cut.lattice(model)
+    place = own["place"].to_numpy()
+    if not np.array_equal(np.unique(place), np.arange(len(order))):
+        raise RuntimeError("the units of a block are not those that were encoded")
+    lists = own["ids"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ids, starts = _resolved(model, np.array(lists.values, np.int32), np.array(lists.offsets, np.int64))
+    row = np.zeros(len(order), np.int64)
+    row[place] = np.arange(len(place))
+    # Units without an answer: those that the lattice does not take, and those without any edge.
+    alone = {x for x in cut.others if not model.by_lattice(cut.others[x])} | {order[p] for p in place[starts[1:] == starts[:-1]].tolist()}
+    hashes = np.array([*order, *sorted(alone)], np.uint64)
+    extra = [model.encode_unit(cut.others[x]) for x in sorted(alone)]
+    base = len(common.ids)
+    begin = np.concatenate([common.starts[:-1], base + starts[:-1][row], base + len(ids) + np.cumsum([0, *map(len, extra)])[:-1]]).astype(np.int64)
+    size = np.concatenate([np.diff(common.starts), np.diff(starts)[row], [len(x) for x in extra]]).astype(np.int64)
+    flat = np.concatenate([common.ids, ids, np.array([k for x in extra for k in x], np.int32)]).astype(np.int32)
+    by_hash = np.argsort(hashes, kind="stable")
+    by_hash = by_hash[np.append(hashes[by_hash][1:] != hashes[by_hash][:-1], True)] if len(by_hash) else by_hash  # a unit without edges is in both lists; its later row counts
+    sorted_hashes = hashes[by_hash]
+    out = []
+    for number, distinct, known, first in cut.parts:
+        lost = known < 0
+        known = known.copy()
+        known[lost] = len(common.hashes) + by_hash[np.searchsorted(sorted_hashes, distinct[lost])]
+        at = known[number]
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        found = flat[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], n)].astype("<i4")
+        edges = ends[first]
+        out += [found[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({
+        "doc_id": block["doc_id"], "n_bytes": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+        "n_pieces": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary()),
+    })
 
 
 def decode(ids: Column, model: Model, spark: SparkSession) -> Column:

@@ -271,7 +271,7 @@ def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = max(5, min(20, (stored // BUCKET_BYTES).bit_length()))
     narrow = docs.select("doc_id", "text")
     found = durable(narrow.mapInArrow(_find(length), FOUND))

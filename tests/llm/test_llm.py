@@ -66,13 +66,14 @@ def model():
     return queries.piece_model()
 
 
-def test_library_ids(spark, sf_dir, edge, model):
-    """Every id equals that of the sentencepiece library on the same file, and decoding gives the text back."""
+@pytest.mark.parametrize("sample_bytes", [0, sentencepiece_lattice.SAMPLE_BYTES])
+def test_library_ids(spark, sf_dir, edge, model, sample_bytes):
+    """Every id equals that of the sentencepiece library on the same file, and decoding gives the text back, with and without common units."""
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
-    for docs in (documents(spark, sf_dir), edge.filter("doc_id is not null")):
-        done = sentencepiece_lattice.encode(docs, model)
+    for docs in (documents(spark, sf_dir), edge):
+        done = sentencepiece_lattice.encode(docs, model, sample_bytes)
         rows = done.withColumn("back", sentencepiece_lattice.decode(F.col("ids"), model, spark)).collect()
         whole = defaultdict(set)
         for d, t in texts(docs):
@@ -111,7 +112,7 @@ def test_viterbi_fold(spark, model):
     assert unigram.kind == sentencepiece_lattice.UNIGRAM
     units = ["▁The", "▁thonoren", "▁infriately", "ness", "▁über", "xqzj", "▁words"]
     df = spark.createDataFrame([(u,) for u in units], "unit string")
-    got = {r.unit: [k if k >= 0 else int(unigram.singles[-2 - k]) for k in r.ids] for r in sentencepiece_lattice.encoded_units(df, unigram).collect()}
+    got = {r.unit: [k if k < sentencepiece_lattice.CHARACTER else int(unigram.singles[k - sentencepiece_lattice.CHARACTER]) for k in r.ids] for r in sentencepiece_lattice.encoded_units(df, unigram).collect()}
     assert got == {u: unigram.encode_unit(u) for u in units}
     for u in units:
         if u.startswith("▁"):
