@@ -361,7 +361,7 @@ def common_units(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) for distinct units: the lattice and its fold. BPE units without any edge are left out.
 
-    ``units`` should be partitioned by unit. Characters of a BPE lattice that are in no merge are ``CHARACTER`` plus their code point.
+    ``units`` have at least ``model.shortest`` characters and should be partitioned by unit. Characters of a BPE lattice that are in no merge are ``CHARACTER`` plus their code point.
     """
     bpe = model.kind == BPE
     rows = pd.DataFrame([(p, k, model.scores[k]) for p, k in model.ids.items()], columns=["piece", "id", "score"])
@@ -370,7 +370,7 @@ def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     table = units.sparkSession.createDataFrame(rows).withColumn("id", F.col("id").cast("int"))
     length = F.char_length("unit")
     ends = F.sequence(F.lit(model.shortest), F.least(F.lit(model.longest), length - F.col("s")))
-    starts = units.filter(length >= model.shortest).select("unit", F.explode(F.sequence(F.lit(0), length - model.shortest)).alias("s"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), length - model.shortest)).alias("s"))
     substrings = starts.select("unit", "s", F.explode(ends).alias("n")).select("unit", "s", (F.col("s") + F.col("n")).alias("e"), F.substring(F.col("unit"), F.col("s") + 1, F.col("n")).alias("piece"))
     # The model has a fixed number of pieces, so its broadcast does not grow with the corpus.
     if bpe:
@@ -454,9 +454,10 @@ def encode(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES) -> D
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
     shared, common = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(common_units(narrow, model, sample_bytes))
-    # One exchange by unit serves both the lattice and the way back: the lattice's input names all its columns, so that it stays the same.
+    # One exchange by unit serves both the lattice and the way back: the lattice's input names all its columns, so that it stays the same
+    # (and both leave out null units, of which there are none).
     # Many small partitions: edges of one are grouped in memory, without being sorted (see memory.small_batches).
-    placed = narrow.mapInArrow(_units(shared, common), "block long, place int, unit string").repartition(PARTS * shuffle_width(spark), "unit")
+    placed = narrow.mapInArrow(_units(shared, common), "block long, place int, unit string").filter("unit is not null").repartition(PARTS * shuffle_width(spark), "unit")
     units = placed.groupBy("unit").agg(F.max("place").alias("last"), F.count("block").alias("n")).filter("last >= 0 and n > 0").select("unit")
     back = placed.join(encoded_units(units, model).hint("shuffle_hash"), "unit", "left").select("block", "place", "ids")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *ENCODED.fields])
