@@ -2,16 +2,18 @@
 
 Detected entities are replaced by keyed surrogates of the same type and format: digits stay digits and keep
 their punctuation, card numbers keep their issuer digit and a valid check digit, IBANs get a valid check
-number, secrets keep their alphabet and length, names keep gender and script. One entity has one
-surrogate in the whole corpus, however it is written (coreference), and two entities never share one
-(distinctness): surrogates are drawn from a keyed hash, drawn surrogates are checked against each other and
-against all entities of the corpus, and those that lose are drawn again.
+number, secrets keep their length and get letters for letters, digits for digits and symbols for symbols, names keep gender and
+script. One entity has one surrogate in the whole corpus, however it is written (coreference), and two entities never share one,
+whatever their kinds (distinctness): surrogates are drawn from a keyed hash, drawn surrogates are checked
+against each other and against all entities of the corpus, and those that lose are drawn again. From draw ``GROWS`` on a
+surrogate gets a character more with each draw, so a kind whose format has too few forms departs from it in length, and never fails.
 
 The distinct entities are agreed on in a distributed way (a loop of grouped minima); what each document needs
-comes back to it with one shuffle of the texts.
+comes back to it with one shuffle of the texts. Persons are found by titles and by the given names listed below, so other
+names stay; the key is the caller's, and whoever has it can recompute surrogates.
 
 Defined cases: a null text stays null and has no entities; an empty text stays empty. Rows that repeat get
-equal results, whether or not they share a ``doc_id``. Extra columns are ignored.
+equal results, whether or not they share a ``doc_id``, which may be null. An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import types as T
 from .durable import durable, fields
 from .memory import trim
 
-KEY = b"siftline surrogate key"
+#: The first draw whose surrogates are longer than their entities.
+GROWS = 8
 
 # Patterns of the entities that are looked for.
 PATTERNS = {
@@ -104,12 +107,12 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
 class _Stream:
     """Numbers from a keyed hash of an entity and the number of the attempt."""
 
-    def __init__(self, kind: str, entity: str, attempt: int):
-        self.seed, self.block, self.left = f"{kind}\0{entity}\0{attempt}".encode(), 0, []
+    def __init__(self, key: bytes, kind: str, entity: str, attempt: int):
+        self.key, self.seed, self.block, self.left = key, f"{kind}\0{entity}\0{attempt}".encode(), 0, []
 
     def below(self, n: int) -> int:
         if not self.left:
-            digest = hashlib.blake2b(self.seed, key=KEY, salt=self.block.to_bytes(8, "big")).digest()
+            digest = hashlib.blake2b(self.seed, key=self.key, salt=self.block.to_bytes(8, "big")).digest()
             self.left = [int.from_bytes(digest[k : k + 4], "big") for k in range(0, 64, 4)]
             self.block += 1
         return self.left.pop() % n
@@ -123,8 +126,12 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def _like(value: str, draw: _Stream, hexadecimal: bool = False) -> str:
-    """Letters, capitals and digits for the same; all else stays."""
+#: What stands for a symbol of a secret; no white space, quotes or separators.
+SYMBOLS = "!#$%&*+-/<=>?@^_~"
+
+
+def _like(value: str, draw: _Stream, hexadecimal: bool = False, symbols: bool = False) -> str:
+    """Letters, capitals and digits for the same, and symbols for symbols if they are to change; all else stays."""
     out = []
     for c in value:
         if hexadecimal and c in "0123456789abcdef":
@@ -136,37 +143,38 @@ def _like(value: str, draw: _Stream, hexadecimal: bool = False) -> str:
             x = chr(ord(base) + draw.below(n))
             out.append(x.upper() if c.isupper() else x)
         else:
-            out.append(c)
+            out.append(SYMBOLS[draw.below(len(SYMBOLS))] if symbols else c)
     return "".join(out)
 
 
-def surrogate(kind: str, entity: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The ``attempt``-th surrogate of an entity, in the form in which entities are compared."""
-    draw = _Stream(kind, entity, attempt)
+    draw = _Stream(key, kind, entity, attempt)
+    more = "0" * max(0, attempt - GROWS + 1)  # room where the format has too few forms
     if kind == "email":
         local, _, _domain = entity.partition("@")
-        return f"{_like(local, draw)}@mail{draw.below(1000)}.example.{('com', 'org', 'net')[draw.below(3)]}"
+        return f"{_like(local + more, draw)}@mail{draw.below(1000)}.example.{('com', 'org', 'net')[draw.below(3)]}"
     if kind == "ip":
-        return f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}"
+        return f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}{_like(more, draw)}"
     if kind in ("phone", "ssn"):
-        return str(2 + draw.below(8)) + _like(entity[1:], draw)
+        return str(2 + draw.below(8)) + _like(entity[1:] + more, draw)
     if kind == "card":
-        body = entity[0] + _like(entity[1:-1], draw)
+        body = entity[0] + _like(entity[1:-1] + more, draw)
         valid = _luhn(entity[:-1]) == int(entity[-1])
         return body + (str(_luhn(body)) if valid else str(draw.below(10)))
     if kind == "iban":
-        rest = _like(entity[4:], draw)
+        rest = _like(entity[4:] + more, draw)
         number = "".join(str(int(c, 36)) for c in rest + entity[:2] + "00")
         return f"{entity[:2]}{98 - int(number) % 97:02d}{rest}"
     if kind == "aws_key":
-        return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in entity[4:])
+        return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in entity[4:] + more)
     if kind.startswith(("given", "family")):
         _, gender, script = kind.split("_")
         syllables = SYLLABLES[script]
-        stem = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + (attempt > 0) + min(attempt, 8) // 3))
+        stem = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + (attempt > 0) + attempt // 3))
         ends = ENDINGS[gender, script]
         return stem + ends[draw.below(len(ends))]
-    return _like(entity, draw, kind == "hex")
+    return _like(entity + more, draw, kind == "hex", symbols=True)
 
 
 def written_like(kind: str, mention: str, new: str) -> str:
@@ -176,7 +184,7 @@ def written_like(kind: str, mention: str, new: str) -> str:
         fill = list(new)
         keep = chars[: len(chars) - len(fill)]  # a country code that the entity leaves out
         flow = iter(keep + fill)
-        return "".join(next(flow) if c.isalnum() else c for c in mention)
+        return "".join(next(flow) if c.isalnum() else c for c in mention) + "".join(flow)
     if kind.startswith(("given", "family")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new[0].upper() + new[1:]
     return new.upper() if kind == "email" and mention.isupper() else new
@@ -188,9 +196,12 @@ def _entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if not t else [{"kind": k, "entity": e} for k, e in sorted({(k, e) for _, _, k, e in mentions(t)})])
 
 
-@F.pandas_udf(T.StringType())
-def _draw(kinds: pd.Series, entities: pd.Series, attempts: pd.Series) -> pd.Series:
-    return pd.Series([surrogate(k, e, int(a)) for k, e, a in zip(kinds, entities, attempts, strict=True)], dtype=object)
+def _draw(key: bytes):
+    @F.pandas_udf(T.StringType())
+    def drawn(kinds: pd.Series, entities: pd.Series, attempts: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, e, int(a)) for k, e, a in zip(kinds, entities, attempts, strict=True)], dtype=object)
+
+    return drawn
 
 
 @F.pandas_udf(fields("text string, n_entities long, n_distinct long"))
@@ -208,28 +219,28 @@ def _replace(texts: pd.Series, tables: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_entities", "n_distinct"])
 
 
-def assign(entities: DataFrame, most_rounds: int = 32) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity): all surrogates of a kind differ, and none is an entity."""
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, surrogate) for distinct (kind, entity): all surrogates differ, and none is an entity."""
     waiting = entities.select("kind", "entity", F.lit(0).alias("attempt"))
-    settled, originals = None, entities.select("kind", F.col("entity").alias("surrogate"))
-    for _ in range(most_rounds):
-        drawn = durable(waiting.withColumn("surrogate", _draw("kind", "entity", "attempt")))
-        free = drawn.join(originals, ["kind", "surrogate"], "left_anti")
+    settled, originals = None, entities.select(F.col("entity").alias("surrogate"))
+    while settled is None or not waiting.isEmpty():  # each draw settles nearly all, and surrogates grow at last
+        drawn = durable(waiting.withColumn("surrogate", _draw(key)("kind", "entity", "attempt")))
+        free = drawn.join(originals, "surrogate", "left_anti")
         if settled is not None:
-            free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = durable(free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate"))
+            free = free.join(settled.select("surrogate"), "surrogate", "left_anti")
+        won = durable(free.groupBy("surrogate").agg(F.min(F.struct("kind", "entity")).alias("one")).select("one.kind", "one.entity", "surrogate"))
         settled = won if settled is None else settled.unionByName(won)
         waiting = drawn.join(won.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
-        if waiting.isEmpty():
-            return settled
-    raise RuntimeError("surrogates still collide after many draws: the space of some kind is too small")
+    return settled
 
 
-def pseudonymise(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_entities, n_distinct, text (with surrogates), text_sha256."""
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_entities, n_distinct, text (with surrogates), text_sha256. ``key`` has 1 to 64 bytes and is secret."""
+    if not 1 <= len(key) <= 64:
+        raise ValueError("a key of 1 to 64 bytes is needed")
     row = F.xxhash64("doc_id", "text").alias("_row")
     seen = durable(docs.select(row, F.explode(_entities("text")).alias("e")).select("_row", "e.kind", "e.entity"))
-    table = durable(assign(seen.select("kind", "entity").distinct()))
+    table = durable(assign(durable(seen.select("kind", "entity").distinct()), key))
     needs = seen.distinct().join(table, ["kind", "entity"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("table"))
     done = docs.select("doc_id", "text", row).join(needs, "_row", "left").select("doc_id", _replace("text", "table").alias("r"))
     return done.select("doc_id", "r.n_entities", "r.n_distinct", "r.text", F.sha2(F.coalesce("r.text", F.lit("")).cast("binary"), 256).alias("text_sha256"))

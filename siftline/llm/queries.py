@@ -43,11 +43,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The key of the surrogates of this query, whose texts are public and made up. Real ones need a secret key: SIFTLINE_PII_KEY, or the operator's parameter.
+PII_KEY = os.environ.get("SIFTLINE_PII_KEY", "key for made-up texts only").encode()
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+#: Bytes as pairs of hexadecimal digits, so that strings of 400 bytes can be cut, compared by digest, and covered.
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+t AS (SELECT r, q, substr(h, 800 * q + 1, 1598) AS part FROM (SELECT r, h, unnest(range(length(h) // 800)) AS q FROM d)),
+s AS (SELECT r, 400 * q + o AS p, md5(substr(part, 2 * o + 1, 800)) AS g FROM (SELECT r, q, part, unnest(range(length(part) // 2 - 399)) AS o FROM t)),
+m AS (SELECT r, p FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+i AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM m),
+j AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS k FROM i),
+c AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM j GROUP BY r, k),
+e AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_, b FROM c),
+f AS (SELECT e.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS left_ FROM e JOIN d USING (r) GROUP BY e.r),
+k AS (SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(left_, h) AS left_ FROM d LEFT JOIN f USING (r))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(left_)) AS kept_sha256,
+       decode(unhex(array_to_string(list_filter(regexp_extract_all(left_, '[0-7].|[cd].[89ab].|e.[89ab].[89ab].|f.[89ab].[89ab].[89ab].|..'), lambda x: length(x) > 2 OR x < '80'), ''))) AS kept
+FROM k
+"""
+
 OP9_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
@@ -109,4 +130,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_ngram_join": OP10_SQL}
