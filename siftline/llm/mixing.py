@@ -2,10 +2,14 @@
 
 Each source gets a target number of words. A document of a source with target T and size total S
 has the expected number of copies T / S: every document gets the whole part, and the fractions are
-rounded so that the source's words stay at the target. The pivotal method takes two documents with
-fractional copies, and randomly moves words from one to the other until one of them has no copy
-or a whole one. Words are conserved in each step, so a source misses its target by less than
-one document; each document keeps its probability.
+rounded so that the source's words stay at the target. The pivotal method pairs fractional documents and
+randomly moves words from one side to the other until one has no copy or a whole one. Words are conserved in
+each step, so a source misses its target by less than one document; each document keeps its probability.
+
+In a node documents go from the largest to the smallest, and the partner of each is all that are smaller, taken together:
+words come from them, or go to them, in fixed proportions, which keep every expectation, so it becomes whole at once. Where
+the smaller ones have too few words for that, the rest are paired one by one, from the smallest. What a node leaves
+open, and a source misses at last, is so a small document wherever the sizes allow.
 
 Leaves of at most a few dozen documents are folded first; each leaves at most one fractional
 document, and those residuals go up a reduction tree of fixed fan-in, until one per source is
@@ -13,8 +17,9 @@ left. Only DataFrame functions are used, and no task holds more than a leaf.
 
 Defined cases: null or blank texts have size 0 and take 0 words; a source of size 0 has the target
 0; a null source is a source of its own, after all others. Rows that repeat a ``doc_id`` are
-mixed as separate documents. Extra columns are ignored. Random numbers are hashes of the seed and the
-documents, so reruns agree.
+mixed as separate documents: equal ones are counted, numbered and dealt to leaves by their numbers, so that
+a group of copies fills many leaves. An empty table has no rows. Extra columns are ignored. Random numbers are hashes of the
+seed and the documents, so reruns agree.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 from .durable import durable
 
 #: Documents of a leaf, on average, and residuals that a node of the tree combines.
-LEAF = 48
-FAN_IN = 48
+LEAF = 96
+FAN_IN = 96
+#: Equal rows that one row stands for while copies are numbered.
+CHUNK = 4096
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,8 +94,37 @@ def _whole(d: Column) -> Column:
     return (d["mass"] <= 0.0) | (d["mass"] >= d["size"].cast("double"))
 
 
+def _slack(d: Column) -> Column:
+    """How many words a document can both give and take."""
+    return F.greatest(F.lit(0.0), F.least(d["mass"], d["size"].cast("double") - d["mass"]))
+
+
+def _pooled(docs: Column, seed: int) -> Column:
+    """Entries with new masses: entry k pivots against all later ones together, if those can close it for certain.
+
+    They give or take its words in proportion to their slack, so none leaves its bounds.
+    """
+
+    def step(state: Column, k: Column) -> Column:
+        a = F.get(state, k)
+        size, mass = a["size"].cast("double"), a["mass"]
+        room = F.aggregate(F.slice(state, k + 2, F.greatest(F.size(state) - k - 1, F.lit(0))), F.lit(0.0), lambda total, d: total + _slack(d))
+        rise = _unit(F.lit(seed), F.lit("pool"), a["key"]) < mass / size  # to one more copy
+
+        def moved(room: Column) -> Column:
+            to_a = F.when(rise, size - mass).otherwise(-mass)
+            theirs = lambda d: F.greatest(F.lit(0.0), F.least(d["size"].cast("double"), d["mass"] - to_a * _slack(d) / room))
+            new = lambda d, j: F.when(j == k, F.when(rise, size).otherwise(F.lit(0.0))).when((j > k) & ~_whole(d), theirs(d)).otherwise(d["mass"])
+            changed = F.transform(state, lambda d, j: F.struct(d["key"].alias("key"), d["doc_id"].alias("doc_id"), d["size"].alias("size"), new(d, j).alias("mass")))
+            return F.when(room >= F.greatest(mass, size - mass), changed).otherwise(state)
+
+        return F.when(_whole(a), state).otherwise(F.get(F.transform(F.array(room), moved), F.lit(0)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(docs) - 1), docs, step)
+
+
 def _fold(docs: Column, entry: str, seed: int) -> Column:
-    """Fold an array of entries into (open, done): at most one fractional document, and all others."""
+    """Pair an array of entries one by one into (open, done): at most one fractional document, and all others."""
     start = F.struct(F.lit(None).cast(entry).alias("open"), F.array().cast(f"array<{entry}>").alias("done"))
 
     def step(acc: Column, doc: Column) -> Column:
@@ -109,14 +145,18 @@ def _fold(docs: Column, entry: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, cap: float = 3.0, seed: int = 7, leaf: int = LEAF, fan_in: int = FAN_IN) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, taken, copies."""
+    """Per row of ``docs``: doc_id, size, source_size, target, taken, copies, source."""
     entry = ENTRY.format(docs.schema["doc_id"].dataType.simpleString())
     sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = durable(source_targets(sizes, cap)).withColumnRenamed("source", "_source")
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     of_source = ["source", "source_size", "target", "rate"]
-    rated = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate).withColumn("key", F.xxhash64("doc_id", "size"))
+    # Equal rows are counted where they are, and numbered after they are dealt out in chunks.
+    alike = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {CHUNK}"))))
+    first = F.col("chunk") * CHUNK
+    numbered = alike.repartition("doc_id", "size", "chunk").withColumn("number", F.explode(F.sequence(first, F.least(F.col("times"), first + CHUNK) - 1)))
+    rated = numbered.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate).withColumn("key", F.xxhash64("doc_id", "size", "number"))
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(float(leaf)))).cast("long")
     entries = rated.select(
         *of_source,
@@ -129,7 +169,7 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = 7, leaf: int = LEAF, fan_
 
     def fold(entries: DataFrame) -> DataFrame:
         nodes = entries.groupBy("source", "node").agg(*[F.first(c).alias(c) for c in of_source[1:]], large_first.alias("entries"))
-        return durable(nodes.select(*of_source, "node", _fold(F.col("entries"), entry, seed).alias("fold")))
+        return durable(nodes.select(*of_source, "node", _fold(F.reverse(_pooled(F.col("entries"), seed)), entry, seed).alias("fold")))
 
     level, parts, nodes = fold(entries), [], max(1, -(-most // leaf))
     parts.append(level.select(*of_source, F.explode("fold.done").alias("d")))
@@ -148,6 +188,6 @@ def mix(docs: DataFrame, cap: float = 3.0, seed: int = 7, leaf: int = LEAF, fan_
     extra = F.when((F.col("d.size") > 0) & (F.col("d.mass") >= F.col("d.size").cast("double")), F.lit(1)).otherwise(F.lit(0))
     copies = F.floor("rate") + extra
     return out.select(
-        F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"), "source_size", "target",
-        (copies * F.col("d.size")).cast("long").alias("taken"), copies.cast("int").alias("copies"),
+        F.col("d.doc_id").alias("doc_id"), F.col("d.size").alias("size"), "source_size", "target",
+        (copies * F.col("d.size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "source",
     )
