@@ -118,6 +118,21 @@ def telling(offsets: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> np.ndar
     return (np.abs(hits[1] / n[1] - hits[0] / n[0]) > STANDARD_ERRORS * error) & (hits[0] + hits[1] >= MIN_DOCS)
 
 
+def likelihoods(f: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(grade of each row) = upper - lower, and the slopes of both sigmoids over it."""
+    edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
+    upper, lower = sigmoid(edges[grades + 1] - f), sigmoid(edges[grades] - f)
+    upper, lower = np.where(grades == GRADES - 1, 1.0, upper), np.where(grades == 0, 0.0, lower)
+    p = np.maximum(upper - lower, 1e-9)
+    return p, upper * (1 - upper) / p, lower * (1 - lower) / p
+
+
+def slopes(f: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the sum of -log P(grade): by the value f of each row, and by each threshold."""
+    _, upper, lower = likelihoods(f, grades, thresholds)
+    return upper - lower, np.array([lower[grades == k + 1].sum() - upper[grades == k].sum() for k in range(GRADES - 1)])
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int = 12) -> Model:
     """Maximum likelihood by Adagrad over shuffled documents."""
     labels = np.asarray(labels, int)
@@ -135,19 +150,13 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED, epochs: int =
             size = offsets[part + 1] - offsets[part]
             f = sums(np.concatenate([[0], np.cumsum(size)]), weights[own])
             thresholds = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-            edges = np.concatenate([[-np.inf], thresholds, [np.inf]])
-            y = grades[part]
-            hi, lo = (1 / (1 + np.exp(-np.clip(edges[y + k] - f, -35, 35))) for k in (1, 0))
-            hi, lo = np.where(y == GRADES - 1, 1.0, hi), np.where(y == 0, 0.0, lo)
-            p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-            slope = d_hi - d_lo  # of the loss by f
+            slope, t_grad = slopes(f, grades[part], thresholds)
             grad = np.bincount(own, np.repeat(slope, size), 2 * BUCKETS)
             used = np.unique(own)
             g = grad[used] / len(part) + DECAY * weights[used]
             power[used] += g * g
             weights[used] -= np.where(useful[used], 0.1 * g / np.sqrt(power[used]), 0.0)
-            t_grad = np.array([-(d_hi[y == k].sum() - d_lo[y == k + 1].sum()) for k in range(GRADES - 1)]) / len(part)
+            t_grad /= len(part)
             chain = np.array([t_grad.sum(), *[t_grad[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 2)]])
             t_power += chain * chain
             move = 0.1 * chain / np.sqrt(t_power)
