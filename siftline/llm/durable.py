@@ -17,10 +17,12 @@ def fields(spec: str) -> T.StructType:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of its own."""
+    """Use ``spark.checkpoint.dir``; only a local session without one (tests) gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="siftline-checkpoint-"))
 
 

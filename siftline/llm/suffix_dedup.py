@@ -258,9 +258,9 @@ def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
                 kept.append(data[at:x])
                 at = y
             left = b"".join([*kept, data[at:]]) if spans else data
-            out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
+            out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
         columns = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         parts.append(pa.table({"doc_id": own["doc_id"], **{n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)}}))
     trim()
@@ -270,7 +270,7 @@ def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes), kept (their text, without characters that lost some of their bytes)."""
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = max(5, min(20, (stored // BUCKET_BYTES).bit_length()))
     narrow = docs.select("doc_id", "text")
@@ -288,5 +288,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shipped = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_ship(length, bits), SHIPPED)
     marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInArrow(trimmed(_mark(length)), MARKS))
     kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
+    schema = T.StructType([T.StructField("doc_id", kind), *fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields])
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, schema)
