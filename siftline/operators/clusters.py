@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import det, vec
@@ -152,19 +152,23 @@ def kmeans(vectors: DataFrame, k: int = 100, max_iter: int = 300, restarts: int
     return model.transform(data).drop("features"), table
 
 
+#: Rows of the largest density clustering, which is one task: its time grows with their square (2000 rows of 64 numbers: under a second; 50,000: some minutes).
+DENSITY_ROWS = 50_000
+
+
 def pilot_size(n: int, ratio: float = 0.02, low: int = 50_000, high: int = 500_000) -> int:
     return min(n, max(low, min(high, int(n * ratio))))
 
 
 def pilot(vectors: DataFrame, size: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """``size`` rows chosen by hash; with a stratum, from each in proportion."""
+    """``size`` rows chosen by hash; with a stratum, from each in proportion. The choice needs only ids; vectors are joined to it."""
     u = det.uniform(seed, "pilot", 0, "id")
     if stratum is None:
-        return vectors.withColumn("_u", u).orderBy("_u", "id").limit(size).drop("_u")
-    n = vectors.count()
-    w = Window.partitionBy(stratum)
-    ranked = vectors.withColumn("_r", F.row_number().over(w.orderBy(u, "id"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(size / max(1, n)))).drop("_r", "_n")
+        return vectors.join(vectors.select("id").orderBy(u, "id").limit(size), "id", "left_semi")
+    ids = vectors.select("id", stratum)
+    n, w = ids.count(), Window.partitionBy(stratum)
+    ranked = ids.withColumn("_r", F.row_number().over(w.orderBy(u, "id"))).join(ids.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), stratum)
+    return vectors.join(ranked.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(size / max(1, n)))).select("id"), "id", "left_semi")
 
 
 def density_labels(x: np.ndarray, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom") -> np.ndarray:
@@ -256,7 +260,7 @@ def density_labels(x: np.ndarray, min_cluster_size: int = 50, min_samples: int =
     return labels
 
 
-def density_cluster(vectors: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", most: int = 20_000) -> DataFrame:
+def density_cluster(vectors: DataFrame, min_cluster_size: int = 50, min_samples: int = 10, method: str = "eom", most: int = DENSITY_ROWS) -> DataFrame:
     """Members by density clustering of at most ``most`` rows, in one task; larger tables go through ``large_scale_cluster``."""
     count = vectors.count()
     if count > most:
@@ -270,15 +274,20 @@ def density_cluster(vectors: DataFrame, min_cluster_size: int = 50, min_samples:
     return vectors.select("id", "v", F.lit(0).alias("_one")).groupBy("_one").applyInPandas(run, f"id {kind}, v array<double>, cluster int")
 
 
-def large_scale_cluster(vectors: DataFrame, pilot_rows: int = 10_000, min_cluster_size: int = 50, min_samples: int = 10, max_size: int | None = None, target_size: int | None = None, seed: int = 42) -> DataFrame:
-    """Density clusters of a pilot; every row joins the nearest centroid by cosine; too large clusters are divided."""
-    seeds = handle_noise(density_cluster(pilot(vectors, pilot_rows, seed), min_cluster_size, min_samples), "drop")
-    members = nearest(vectors, centroids(seeds), "cosine").drop("distance")
+def large_scale_cluster(vectors: DataFrame, pilot_rows: int | None = None, min_cluster_size: int = 50, min_samples: int = 10, max_size: int | None = None, target_size: int | None = None, seed: int = 42) -> DataFrame:
+    """Density clusters of a pilot, whose rows keep their labels, noise included; every other row joins the nearest centroid by cosine; too large clusters are divided.
+
+    ``pilot_rows`` is ``pilot_size`` of the table unless given, and ``DENSITY_ROWS`` at most.
+    """
+    size = pilot_rows or min(DENSITY_ROWS, pilot_size(vectors.count()))
+    seeds = density_cluster(pilot(vectors, size, seed), min_cluster_size, min_samples)
+    rest = vectors.join(seeds.select("id"), "id", "left_anti")
+    members = seeds.select("id", "v", "cluster").unionByName(nearest(rest, centroids(seeds), "cosine").select("id", "v", F.coalesce("cluster", F.lit(-1)).alias("cluster")))
     return subdivide(members, max_size, target_size or max_size // 2, seed) if max_size else members
 
 
-def subdivide(members: DataFrame, max_size: int, target_size: int, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Clusters above ``max_size`` in max(2, size // target) parts by k-means on a bounded sample of each; part 0 keeps the label, others get new ones."""
+def subdivide(members: DataFrame, max_size: int, target_size: int, seed: int = 42, rounds: int = 20, sample: int = 20_000) -> DataFrame:
+    """Clusters above ``max_size`` in max(2, size // target) parts by k-means, fitted on ``sample`` rows of each, to which all rows are assigned; part 0 keeps the label, others get new ones."""
     sizes = members.filter("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_size)
     large = sizes.withColumn("parts", F.greatest(F.lit(2), F.floor(F.col("size") / target_size)).cast("int"))
     top = members.agg(F.max("cluster")).first()[0] or 0
@@ -293,7 +302,7 @@ def subdivide(members: DataFrame, max_size: int, target_size: int, seed: int = 4
         return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "part": range(len(c)), "centre": list(c)})
 
     w = Window.partitionBy("cluster").orderBy(det.uniform(seed, "subdivide", 0, "id"), "id")
-    some = members.join(large, "cluster").withColumn("_r", F.row_number().over(w)).filter("_r <= 20000").select("id", "cluster", "v", "parts")
+    some = members.join(large, "cluster").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).select("id", "cluster", "v", "parts")
     found = some.groupBy("cluster").applyInPandas(centres, "cluster int, part int, centre array<double>")
     packed = found.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("part", "centre"))).alias("centres"))
     new = found.filter("part > 0").select("cluster", "part", (F.row_number().over(Window.orderBy("cluster", "part")) + F.lit(top)).alias("label"))
@@ -302,18 +311,49 @@ def subdivide(members: DataFrame, max_size: int, target_size: int, seed: int = 4
     return placed.join(F.broadcast(new), ["cluster", "part"], "left").withColumn("cluster", F.coalesce("label", "cluster").cast("int")).drop("part", "label")
 
 
+class Reduction:
+    """Centred principal components: ``components`` (k rows), the ``mean`` that is taken off, and the ``share`` of the variance of each."""
+
+    def __init__(self, mean: list[float], components: list[list[float]], share: list[float]):
+        self.mean, self.components, self.share = mean, components, share
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, k: int | None = None, variance: float | None = None) -> Reduction:
+        """``k`` components, or as many as explain ``variance`` (0.95 if neither is given)."""
+        from pyspark.ml.feature import PCA, StandardScaler
+
+        width = len(vectors.select("v").first()[0])
+        data = vectors.select(array_to_vector("v").alias("raw"))
+        scaler = StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False).fit(data)
+        model = PCA(k=min(k, width) if k else width, inputCol="centred", outputCol="reduced").fit(scaler.transform(data))
+        share = model.explainedVariance.toArray()
+        keep = len(share) if k else min(len(share), int(np.searchsorted(np.cumsum(share), (variance or 0.95) - 1e-12) + 1))
+        return cls(scaler.mean.toArray().tolist(), model.pc.toArray().T[:keep].tolist(), share[:keep].tolist())
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` with v in the components; any vectors of the same width."""
+        model = vectors.sparkSession.sparkContext.broadcast((np.array(self.mean), np.array(self.components)))  # width x k numbers
+
+        @F.pandas_udf("array<double>")
+        def project(v: pd.Series) -> pd.Series:
+            mean, components = model.value
+            return pd.Series(list((np.stack(v.to_numpy()) - mean) @ components.T)) if len(v) else pd.Series([], dtype=object)
+
+        return vectors.withColumn("v", project("v"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.mean, self.components, self.share)], "mean array<double>, components array<array<double>>, share array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Reduction:
+        row = spark.read.parquet(path).first()
+        return cls(list(row["mean"]), [list(c) for c in row["components"]], list(row["share"]))
+
+
 def reduce_dimensions(vectors: DataFrame, k: int | None = None, variance: float | None = None) -> tuple[DataFrame, list[float]]:
-    """(vectors, explained variance): centred principal components; ``k`` of them, or as many as explain ``variance``."""
-    from pyspark.ml.feature import PCA, StandardScaler
-
-    width = len(vectors.select("v").first()[0])
-    data = vectors.withColumn("raw", array_to_vector("v"))
-    centred = StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False).fit(data).transform(data)
-    model = PCA(k=min(k, width) if k else width, inputCol="centred", outputCol="reduced").fit(centred)
-    share = model.explainedVariance.toArray()
-    keep = len(share) if k else int(np.searchsorted(np.cumsum(share), variance or 0.95) + 1)
-    out = model.transform(centred).withColumn("v", F.slice(vec.vector_to_array("reduced"), 1, min(keep, len(share)))).drop("raw", "centred", "reduced")
-    return out, share[:keep].tolist()
+    """(vectors, explained variance) of a reduction that is not kept."""
+    model = Reduction.fit(vectors, k, variance)
+    return model.transform(vectors), model.share
 
 
 def cluster_of(column: str | Column) -> Column:

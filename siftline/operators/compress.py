@@ -26,7 +26,10 @@ def farthest_points(x: np.ndarray, m: int, cosine: bool = True) -> np.ndarray:
 
 
 def fps(members: DataFrame, m: int = 2048, cosine: bool = True, normalise: bool = True) -> DataFrame:
-    """(cluster, id, rank): farthest-point representatives of each cluster, in the order of ids."""
+    """(cluster, id, rank): farthest-point representatives of each cluster, in the order of ids.
+
+    Each choice depends on all before it, so a cluster is one task; ``subdivide`` bounds its size (``max_size`` of the configuration).
+    """
     rows = members.filter("cluster >= 0").select("cluster", "id", (vec.unit(F.col("v")) if normalise and cosine else F.col("v")).alias("v"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -71,9 +74,9 @@ def kmeans_members(members: DataFrame, m: int, seed: int = 42, rounds: int = 20)
     return members.filter("cluster >= 0").select("cluster", "id", "v").groupBy("cluster").applyInPandas(run, f"cluster int, id {kind}, rank int")
 
 
-def compress(members: DataFrame, max_representatives: int = 2048, reference_size: int = 512, algorithm: str = "fps", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(representatives, references) of all clusters."""
-    ways = {"fps": lambda: fps(members, max_representatives), "random": lambda: random_members(members, max_representatives, "rep", seed), "kmeans": lambda: kmeans_members(members, max_representatives, seed)}
+def compress(members: DataFrame, max_representatives: int = 2048, reference_size: int = 512, algorithm: str = "fps", seed: int = 42, cosine: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(representatives, references) of all clusters. ``cosine`` chooses the distance of farthest points; vectors that were centred need the other."""
+    ways = {"fps": lambda: fps(members, max_representatives, cosine), "random": lambda: random_members(members, max_representatives, "rep", seed), "kmeans": lambda: kmeans_members(members, max_representatives, seed)}
     if algorithm not in ways:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     return ways[algorithm](), random_members(members, reference_size, "ref", seed)

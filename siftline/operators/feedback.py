@@ -47,6 +47,14 @@ def running_stats(batches: DataFrame, momentum: float = 0.99, key: str | None =
     return folded.select(*keys, F.explode(F.aggregate("s", start, step)).alias("r")).select(*keys, "r.*")
 
 
+def blended(losses: DataFrame, before: tuple[float, float] | None, momentum: float = 0.99) -> tuple[float, float]:
+    """(mean, variance) after one more batch of (loss): the batch's own without a state before, else blended into that."""
+    mean, var = losses.agg(F.avg("loss"), F.var_pop("loss")).first()
+    if mean is None:
+        return before or (0.0, 1.0)
+    return (mean, var) if before is None else tuple(momentum * old + (1 - momentum) * new for old, new in zip(before, (mean, var), strict=True))
+
+
 def zscore_errors(batches: DataFrame, momentum: float = 0.99, offset: float = 0.5) -> DataFrame:
     """Rows of (batch, ...) with ``error``: z-score by the running statistics that include the row's own batch."""
     stats = running_stats(batches, momentum)

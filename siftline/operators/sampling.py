@@ -50,7 +50,7 @@ def history_distance(candidates: DataFrame, history: DataFrame) -> DataFrame:
     """(id, cluster, nearest): smallest cosine distance to any vector of the history; null without a history.
 
     The history goes block by block: every block of candidates meets every block of the history by an equi-join on
-    numbers of blocks, and a running minimum is kept. Nothing is broadcast.
+    numbers of blocks, and a running minimum is kept. A history of one block is broadcast.
     """
     count = history.count()
     out = candidates.select("id", "cluster", "v")

@@ -10,9 +10,9 @@ DEFAULTS: dict = {
     "seed": 42,
     "total_rounds": 10,
     "data": {"min_length": 10, "max_length": 4096, "fields": {}, "template": "{instruction}\n{input}"},
-    "embedding": {"encoder": "hash", "dim": 256, "pca_dim": None, "pca_variance": 0.95},
-    "clustering": {"algorithm": "density", "min_cluster_size": 50, "min_samples": 10, "method": "eom", "k": 100, "noise": "nearest", "threshold": 20_000, "pilot_rows": 10_000, "max_size": 100_000, "target_size": 50_000},
-    "compression": {"max_representatives": 2048, "reference_size": 512, "algorithm": "fps"},
+    "embedding": {"encoder": "hash", "dim": 256, "pca_dim": None, "pca_variance": None},
+    "clustering": {"algorithm": "density", "min_cluster_size": 50, "min_samples": 10, "method": "eom", "k": 100, "noise": "nearest", "threshold": 50_000, "pilot_rows": None, "max_size": 100_000, "target_size": 50_000},
+    "compression": {"max_representatives": 2048, "reference_size": 512, "algorithm": "fps", "metric": "cosine"},
     "error": {"weights": {"loss": 0.4, "correctness": 0.6, "entropy": 0.0}, "momentum": 0.99, "offset": 0.5, "tolerance": 0.001},
     "thompson": {"alpha0": 1.0, "beta0": 1.0, "strength": 2.0, "ratio": 0.3, "warmup_rounds": 2},
     "budget": {"total": 10_000, "base_ratio": 0.2, "max_ratio": 3.0, "adaptive": False},

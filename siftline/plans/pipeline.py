@@ -37,18 +37,20 @@ class SelectionPipeline:
         c = self.config
         if samples is None:
             samples = readers.load(self.spark, path, c["data"]["fields"], c["data"]["min_length"], c["data"]["max_length"])
-        samples = self._write(samples.dropDuplicates(["id"]), "samples")
+        samples = self._write(readers.last_wins(samples.withColumn("_at", F.monotonically_increasing_id()), "id", "_at").drop("_at"), "samples")
         if vectors is None:
             text = rendered_text(c["data"]["template"], {f: F.col(f) for f in ("instruction", "input", "output")})
             stored = embedding.embed_missing(samples.select("id", text.alias("text")), self._path("embeddings"), embedding.make_encoder(c["embedding"]["encoder"], dim=c["embedding"]["dim"]))
             vectors = stored.select("id", F.col("embedding").cast("array<double>").alias("v"))
-        if c["embedding"]["pca_dim"]:
-            vectors, _ = clusters.reduce_dimensions(vectors, c["embedding"]["pca_dim"])
+        if c["embedding"]["pca_dim"] or c["embedding"]["pca_variance"]:
+            model = clusters.Reduction.fit(vectors, c["embedding"]["pca_dim"], c["embedding"]["pca_variance"])
+            model.save(self.spark, self._path("reduction"))
+            vectors = model.transform(vectors)
         vectors = self._write(vectors, "vectors")
         members = self._write(clusters.handle_noise(self._cluster(vectors), c["clustering"]["noise"]), "members")
         scored = clusters.prior_scores(clusters.cluster_metrics(members), c["prior"])
         table = self._write(scored, "clusters")
-        reps, refs = compress.compress(members, c["compression"]["max_representatives"], c["compression"]["reference_size"], c["compression"]["algorithm"], c["seed"])
+        reps, refs = compress.compress(members, c["compression"]["max_representatives"], c["compression"]["reference_size"], c["compression"]["algorithm"], c["seed"], c["compression"]["metric"] == "cosine")
         reps = self._write(reps, "representatives")
         self._write(refs, "references")
         t = c["thompson"]
@@ -65,6 +67,12 @@ class SelectionPipeline:
             return clusters.density_cluster(vectors, c["min_cluster_size"], c["min_samples"], c["method"], c["threshold"])
         return clusters.large_scale_cluster(vectors, c["pilot_rows"], c["min_cluster_size"], c["min_samples"], c["max_size"], c["target_size"], self.config["seed"])
 
+    def reduced(self, vectors: DataFrame) -> DataFrame:
+        """New vectors (id, v) in the dimensions of the stored ones."""
+        if not sinks.exists(self.spark, self._path("reduction")):
+            return vectors
+        return clusters.Reduction.load(self.spark, self._path("reduction")).transform(vectors)
+
     def _snapshot(self, name: str) -> tuple[DataFrame, int]:
         at = self._read(name).agg(F.max("round")).first()[0]
         return sinks.load_round(self.spark, self._path(name), at).drop("round"), at
@@ -104,20 +112,35 @@ class SelectionPipeline:
         return vectors.join(past, "id", "left_semi")
 
     def update_feedback(self, round_no: int, errors: DataFrame) -> DataFrame:
-        """Take (id, error) of a round: posteriors, difficulties, streaks and retirement; the statistics per cluster."""
+        """Take (id, error) of a round: posteriors, difficulties, streaks and retirement; the statistics per cluster.
+
+        Every row counts for its cluster's posterior. A sample that is there several times takes one step, with its mean error.
+        """
         r = self.config["retirement"]
         posteriors, _ = self._snapshot("posteriors")
         state, _ = self._snapshot("state")
         errors = self._write(errors.select("id", feedback.clip01(F.col("error")).alias("error")), f"feedback/round={round_no}").drop("round")
         stats = feedback.cluster_errors(errors, state)
         sinks.save_round(feedback.updated_posteriors(posteriors, stats), self._path("posteriors"), 2 * round_no)
-        df = state.join(errors, "id", "left")
+        df = state.join(errors.groupBy("id").agg(F.avg("error").alias("error")), "id", "left")
         got, low = F.col("error").isNotNull(), F.col("error") < r["threshold"]
         streak = F.when(low, F.col("consecutive_low_error") + 1).when(got, 0).otherwise(F.col("consecutive_low_error"))
         df = df.withColumns({"difficulty": feedback.difficulty_step(F.col("difficulty"), F.col("error"), self.config["priority"]["eta"]), "consecutive_low_error": streak, "last_error_intensity": F.coalesce("error", "last_error_intensity"), "times_selected": F.col("times_selected") + got.cast("int")})
         sinks.save_round(df.withColumn("retired", F.col("retired") | (F.col("consecutive_low_error") >= r["patience"])).drop("error"), self._path("state"), round_no)
         return stats
 
+    def update_losses(self, round_no: int, losses: DataFrame) -> DataFrame:
+        """Feedback (id, loss): errors by the running mean and deviation of all rounds so far, which are kept with the state."""
+        e = self.config["error"]
+        before = None
+        if sinks.exists(self.spark, self._path("running")):
+            before = self._read("running").filter(F.col("round") < round_no).orderBy(F.desc("round")).first()
+        after = feedback.blended(losses, None if before is None else (before["mean"], before["var"]), e["momentum"])
+        kept = self.spark.createDataFrame([(float(after[0]), float(after[1]))], "mean double, var double")
+        sinks.save_round(kept, self._path("running"), round_no)
+        z = (F.col("loss") - F.lit(after[0])) / F.sqrt(F.lit(after[1]) + F.lit(vec.TINY)) + F.lit(e["offset"])
+        return self.update_feedback(round_no, losses.select("id", feedback.clip01(z).alias("error")))
+
     def history(self) -> DataFrame:
         """One row per round, with its mean error once there is feedback."""
         rounds = self._read("rounds")

@@ -147,8 +147,35 @@ def within_length(df: DataFrame, low: int = 10, high: int = 4096, columns: tuple
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key that with the greatest ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).filter("_n = 1").drop("_n")
+    """Of rows with one key that with the greatest ``order``. An aggregation: what loses goes before the shuffle."""
+    last = df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), order).alias("_row"))
+    return last.select("_row.*")
+
+
+def heads(frames: dict[str, DataFrame], n: int, order: str) -> DataFrame:
+    """The first ``n`` rows of each source by ``order``, with ``_config``."""
+    return union_sources({name: df.orderBy(order).limit(n) for name, df in frames.items()})
+
+
+def with_position(df: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """Rows numbered from 0 in the order of ``order``: a range sort, then offsets of its partitions; no task has all rows. ``order`` should be unique."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        raise RuntimeError("set spark.checkpoint.dir: positions need a written copy of the sorted rows")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    kept = df.orderBy(order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = kept.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
+def zipped(left: DataFrame, right: DataFrame, order: str, name: str = "pos") -> DataFrame:
+    """Rows of equal position side by side, as far as the shorter goes."""
+    return with_position(left, order, name).join(with_position(right.withColumnRenamed(order, f"_{order}"), f"_{order}", name).drop(f"_{order}"), name)
 
 
 def load(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, low: int = 10, high: int = 4096, limit: int | None = None, **options) -> DataFrame:

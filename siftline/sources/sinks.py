@@ -68,6 +68,11 @@ def retained(rounds: DataFrame, keep: int = 5, order: str = "round") -> DataFram
     return rounds.withColumn("_n", F.row_number().over(Window.orderBy(F.col(order).desc()))).filter(F.col("_n") <= keep).drop("_n")
 
 
+def bounded_history(rows: DataFrame, order: str, most: int = 1000, keep: int = 500) -> DataFrame:
+    """A history as it is while it has at most ``most`` rows, else its last ``keep``."""
+    return rows if rows.count() <= most else rows.orderBy(F.col(order).desc()).limit(keep)
+
+
 def save_clusters(clusters: DataFrame, path: str) -> None:
     """Cluster properties and centroids as two tables, so that reading one does not read the other."""
     clusters.drop("centroid").write.mode("overwrite").parquet(f"{path}/clusters")

@@ -205,3 +205,80 @@ def test_command_line(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "state" / "clusters"))
     sinks.save_clusters(table, str(tmp_path / "c"))
     assert sinks.load_clusters(spark, str(tmp_path / "c")).filter("centroid is null").count() == 0
+
+
+def test_last_wins_and_heads(spark):
+    df = spark.createDataFrame([(1, "a", 3, None), (1, "b", 9, "x"), (2, "c", 1, None), (None, "d", 4, "y"), (None, "e", 2, "z")], "id long, t string, at long, _key string")
+    assert sorted((r.id, r.t) for r in readers.last_wins(df.filter("id is not null"), "id", "at").collect()) == [(1, "b"), (2, "c")]
+    assert [r.t for r in readers.last_wins(df.filter("id is null"), "id", "at").collect()] == ["d"]
+    got = readers.heads({"one": df, "two": df.filter("at > 2")}, 2, "at").collect()
+    assert sorted((r["_config"], r.t) for r in got) == [("one", "c"), ("one", "e"), ("two", "a"), ("two", "d")]
+
+
+def test_positions_and_zip(spark):
+    left = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id AS a").repartition(7)
+    got = readers.with_position(left, "k").collect()
+    assert len(got) == 1000 and all(r.pos == r.k for r in got)
+    right = spark.range(10).selectExpr("id * 5 AS k", "id AS b")
+    assert sorted((r.pos, r.k, r.b) for r in readers.zipped(left, right, "k").collect()) == [(p, p, p) for p in range(10)]
+
+
+def test_bounded_history(spark):
+    rows = spark.range(12).withColumnRenamed("id", "round")
+    assert sinks.bounded_history(rows, "round", 12, 5).count() == 12
+    assert sorted(r.round for r in sinks.bounded_history(rows, "round", 11, 5).collect()) == [7, 8, 9, 10, 11]
+
+
+def test_reduction_is_kept(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 2)) @ rng.normal(0, 1, (2, 6)) + 3 + rng.normal(0, 1e-6, (60, 6))
+    df = spark.createDataFrame([(k, [float(y) for y in r]) for k, r in enumerate(x)], "id long, v array<double>")
+    model = clusters.Reduction.fit(df, variance=0.99)
+    assert len(model.components) == 2 and sum(model.share) > 0.99
+    centred = x - x.mean(axis=0)
+    got = np.array([r.v for r in model.transform(df).orderBy("id").collect()])
+    assert np.allclose(got @ got.T, centred @ centred.T, atol=1e-3)  # all that matters is in two components
+    model.save(spark, str(tmp_path / "m"))
+    again = clusters.Reduction.load(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame([(99, [float(y) for y in x[0]])], "id long, v array<double>")
+    assert np.allclose(again.transform(new).first().v, got[0])
+    assert len(clusters.Reduction.fit(df, 4).components) == 4
+
+
+def test_large_scale_keeps_pilot_labels_and_noise(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal((10, 0), 0.1, (60, 2)), rng.normal((0, 10), 0.1, (60, 2)), [[100.0, 100.0], [-100.0, 50.0]]])
+    df = spark.createDataFrame([(k, [float(y) for y in r]) for k, r in enumerate(x)], "id long, v array<double>")
+    got = {r.id: r.cluster for r in clusters.large_scale_cluster(df, None, 10, 5).collect()}
+    assert len(got) == 122 and got[120] == got[121] == -1 and len({got[k] for k in range(60)}) == len({got[k] for k in range(60, 120)}) == 1
+    part = {r.id: r.cluster for r in clusters.large_scale_cluster(df, 80, 10, 5).collect()}
+    assert len(part) == 122 and len({part[k] for k in range(60)} - {-1}) == 1
+    assert sorted(r.id for r in clusters.pilot(df, 5).collect()) == sorted(r.id for r in clusters.pilot(df.repartition(3), 5).collect())
+
+
+def test_feedback_with_repeated_ids_and_running_state(spark, tmp_path):
+    from siftline.plans.config import preset
+    from siftline.plans.pipeline import SelectionPipeline
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, [float(y) for y in rng.normal(3 * (k % 2), 1, 6)]) for k in range(40)], "id long, v array<double>")
+    samples = df.selectExpr("id", "cast(id as string) AS instruction", "'' AS input", "'' AS output")
+    config = preset("small", {"clustering": {"algorithm": "kmeans", "k": 2}, "embedding": {"pca_dim": None, "pca_variance": 0.9}, "compression": {"metric": "euclidean", "max_representatives": 10}, "budget": {"total": 8}})
+    p = SelectionPipeline(spark, str(tmp_path / "p"), config)
+    p.run_offline(samples=samples, vectors=df)
+    picked = p.run_online_round(1).select("id")
+    errors = picked.selectExpr("id", "0.2D AS error").union(picked.selectExpr("id", "0.6D AS error"))
+    before = p._snapshot("posteriors")[0].selectExpr("sum(alpha + beta)").first()[0]
+    p.update_feedback(1, errors)
+    state = p._snapshot("state")[0].collect()
+    assert len(state) == 40 and all(abs(r.last_error_intensity - 0.4) < 1e-9 for r in state if r.times_selected)
+    after = p._snapshot("posteriors")[0].selectExpr("sum(alpha + beta)").first()[0]
+    assert abs(after - before - errors.count()) < 1e-6
+    assert len(p.reduced(df).first().v) == len(p._read("vectors").first().v) < 6
+    p.update_losses(2, p.run_online_round(2).selectExpr("id", "cast(id AS double) AS loss"))
+    first = p._read("running").filter("round = 2").first()
+    again = SelectionPipeline(spark, str(tmp_path / "p"), config)  # the state is read from the folder
+    third = again.run_online_round(3).selectExpr("id", "cast(id AS double) + 5 AS loss").persist()
+    again.update_losses(3, third)
+    last, (mean, var) = again._read("running").filter("round = 3").first(), third.selectExpr("avg(loss)", "var_pop(loss)").first()
+    assert abs(last["mean"] - (0.99 * first["mean"] + 0.01 * mean)) < 1e-9 and abs(last["var"] - (0.99 * first["var"] + 0.01 * var)) < 1e-9
