@@ -6,7 +6,7 @@ table of events (user as sample, day as round, value scaled to an error). Operat
 
 from __future__ import annotations
 
-import os
+import json
 import tempfile
 from collections.abc import Callable
 
@@ -97,15 +97,19 @@ def _scratch(spark: SparkSession, name: str) -> str:
     """A folder for files that a query writes to read them back: the shared one, where the session names it."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="siftline-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
-def jsonl_round_trip(spark, sf_dir):  # S2 S9 K9
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_round_trip(spark, sf_dir):  # S2 S9 K9, with the texts
     path = _scratch(spark, "jsonl")
-    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), path)
-    return readers.read_jsonl(spark, path, "doc_id long, lang string, source string, n_chars long")
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return readers.read_jsonl(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 @query("SELECT count(*) AS n_lines FROM documents")
@@ -115,22 +119,8 @@ def jsonl_count(spark, sf_dir):  # S2b
     return spark.range(1).select(F.lit(readers.count_jsonl(spark, path)).cast("long").alias("n_lines"))
 
 
-@query("SELECT page_id, url FROM pages")
-def csv_round_trip(spark, sf_dir):  # S5
-    path = _scratch(spark, "csv")
-    table(spark, sf_dir, "pages").select("page_id", "url").write.option("header", True).csv(path)
-    return readers.read_csv(spark, path, "page_id long, url string")
-
-
-@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
-def jsonl_round_trip_all(spark, sf_dir):  # S2 S9 K9, with the texts
-    path = _scratch(spark, "jsonl")
-    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
-    return readers.read_jsonl(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
-
-
 @query("SELECT page_id, url, html FROM pages")
-def csv_round_trip_all(spark, sf_dir):  # S5, with the pages; quotes are escaped as the reader expects
+def csv_round_trip(spark, sf_dir):  # S5, with the pages; quotes are escaped as the reader expects
     path = _scratch(spark, "csv")
     table(spark, sf_dir, "pages").select("page_id", "url", "html").write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return readers.read_csv(spark, path, "page_id long, url string, html string")
@@ -198,18 +188,12 @@ def e5_prefix(spark, sf_dir):  # P9
 
 
 @query(r"""
-WITH b AS (SELECT doc_id, text, lang, source FROM documents WHERE n_chars < 2000), c AS (SELECT *, 'A. ' || lang || chr(10) || 'B. ' || source AS lettered FROM b)
+WITH b AS (SELECT doc_id, text, lang, source FROM documents), c AS (SELECT *, 'A. ' || lang || chr(10) || 'B. ' || source AS lettered FROM b)
 SELECT doc_id, 'Question: ' || text || chr(10) || chr(10) || lettered || chr(10) || chr(10) || 'Answer:' AS mmlu,
        'Task: ' || text || chr(10) || chr(10) || 'Let''s think step by step.' || chr(10) || chr(10) || 'Answer:' AS bbh,
        text || chr(10) || chr(10) || 'Answer:' AS plain FROM c
 """)
 def training_prompts(spark, sf_dir):  # P10 P11
-    d = table(spark, sf_dir, "documents").filter("n_chars < 2000").withColumn("choices", F.to_json(F.array("lang", "source")))
-    return d.select("doc_id", text.training_prompt("mmlu", F.col("text"), F.col("choices")).alias("mmlu"), text.training_prompt("bbh", F.col("text"), F.lit("")).alias("bbh"), text.training_prompt("", F.col("text"), F.lit("")).alias("plain"))
-
-
-@query(ORACLE_SQL["training_prompts"].replace(" WHERE n_chars < 2000", ""))
-def training_prompts_all(spark, sf_dir):  # P10 P11, of every document
     d = table(spark, sf_dir, "documents").withColumn("choices", F.to_json(F.array("lang", "source")))
     return d.select("doc_id", text.training_prompt("mmlu", F.col("text"), F.col("choices")).alias("mmlu"), text.training_prompt("bbh", F.col("text"), F.lit("")).alias("bbh"), text.training_prompt("", F.col("text"), F.lit("")).alias("plain"))
 
@@ -349,7 +333,7 @@ def kmeans_clusters(spark, sf_dir):  # M14 M15
 
 @query()
 def density_clusters(spark, sf_dir):  # M11 M17 M23
-    return clusters.large_scale_cluster(members(spark, sf_dir).drop("cluster"), 500, 10, 5).select("id", "cluster")
+    return clusters.large_scale_cluster(members(spark, sf_dir).drop("cluster"), None, 10, 5).select("id", "cluster")
 
 
 @query()
@@ -397,6 +381,27 @@ def first_references(spark, sf_dir):  # L7
     return compress.first_members(members(spark, sf_dir), 30)
 
 
+MIX_IN = f"(SELECT id, cluster, (id * 37 % 101) / 100.0::DOUBLE AS priority, (id * 53 % 97) / 96.0::DOUBLE AS rarity, (10 + cluster * 7)::BIGINT AS n FROM ({S}) WHERE id % 13 <> 0)"
+
+
+@query(f"""
+WITH i AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS c, row_number() OVER (PARTITION BY cluster ORDER BY priority DESC, id) AS p FROM {MIX_IN}),
+j AS (SELECT *, CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 0 ELSE 1 END AS t FROM i), k AS (SELECT *, row_number() OVER (PARTITION BY cluster, t ORDER BY rarity DESC, id) AS r FROM j),
+l AS (SELECT *, CASE WHEN t = 1 AND r <= floor(n * 0.15::DOUBLE) THEN 2 ELSE t END AS s FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY cluster, s ORDER BY {u_sql(42, 'mixed', '1', 'id')}, id) AS u FROM l)
+SELECT id, cluster, CASE WHEN c <= n THEN 'all' WHEN s = 0 THEN 'priority' WHEN s = 2 THEN 'rarity' ELSE 'random' END AS picked_by FROM o
+WHERE c <= n OR s IN (0, 2) OR u <= n - floor(n * 0.8::DOUBLE) - floor(n * 0.15::DOUBLE)
+""")
+def mixed_selection(spark, sf_dir):  # W2 B12 L3 J4 F6
+    m = members(spark, sf_dir).drop("v")
+    retired = m.filter("id % 13 = 0").select("id")
+    c = m.join(retired, "id", "left_anti").withColumns({"priority": (F.col("id") * 37 % 101) / 100.0, "rarity": (F.col("id") * 53 % 97) / 96.0})
+    budgets = m.select("cluster").distinct().withColumn("n", (10 + F.col("cluster") * 7).cast("bigint"))
+    return sampling.mixed_selection(c, budgets).select("id", "cluster", "picked_by")
+
+
+PICKED = f"(SELECT id, cluster FROM ({ORACLE_SQL['mixed_selection']}))"
+
+
 KNN_SQL = f"""
 WITH m AS ({S}), r AS (SELECT * FROM {REF_SQL}), d AS (SELECT m.id, m.cluster, 1 - {COS.format('m.v', 'r.v')} AS d, row_number() OVER (PARTITION BY m.id ORDER BY 1 - {COS.format('m.v', 'r.v')}) AS k FROM m JOIN r USING (cluster)),
 k AS (SELECT id, cluster, avg(d) AS knn FROM d WHERE k <= 10 GROUP BY ALL)
@@ -423,14 +428,18 @@ def rarity(spark, sf_dir):  # B9
     return sampling.rarity(m, refs).select("id", "cluster", r6(F.col("rarity"), "rarity"))
 
 
-HIST = f"(SELECT v FROM ({S}) WHERE id % 10 = 0)"
+HIST = f"(SELECT v FROM ({S}) WHERE id IN (SELECT id FROM {PICKED}))"
 NOVELTY_SQL = f", q AS (SELECT m.id, m.cluster, min(1 - {COS.format('m.v', 'h.v')}) AS d FROM m, {HIST} h GROUP BY ALL), z AS (SELECT id, cluster, CASE WHEN max(d) OVER w = min(d) OVER w THEN 1 ELSE (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w + 1e-12) END AS novelty FROM q WINDOW w AS (PARTITION BY cluster))"
 
 
 @query(f"WITH m AS ({S})" + NOVELTY_SQL + " SELECT id, cluster, round(novelty, 5) AS novelty FROM z")
 def novelty(spark, sf_dir):  # B10 J11 J17
-    m = members(spark, sf_dir)
-    return sampling.novelty(m, m.filter("id % 10 = 0").select("v")).select("id", "cluster", F.round("novelty", 5).alias("novelty"))
+    return sampling.novelty(members(spark, sf_dir), _history(spark, sf_dir)).select("id", "cluster", F.round("novelty", 5).alias("novelty"))
+
+
+def _history(spark, sf_dir):
+    """Vectors of the samples that ``mixed_selection`` picked."""
+    return members(spark, sf_dir).join(mixed_selection(spark, sf_dir).select("id"), "id", "left_semi").select("v")
 
 
 @query(f"WITH m AS ({S}) SELECT a.cluster, count(DISTINCT a.id) AS n, round(avg(1 - {COS.format('a.v', 'b.v')}), 6) AS diversity FROM m a JOIN m b ON a.cluster = b.cluster AND a.id < b.id GROUP BY a.cluster".replace("count(DISTINCT a.id) AS n", "(SELECT count(*) FROM m z WHERE z.cluster = a.cluster) AS n"))
@@ -451,34 +460,28 @@ def diversity_logdet(spark, sf_dir):  # A16
     return spark.range(1).select(F.round(F.lit(diversity.log_determinant(members(spark, sf_dir))), 6).alias("logdet"))
 
 
-@query(f"SELECT (SELECT count(DISTINCT cluster) FROM ({S}) WHERE id % 7 = 0)::DOUBLE / 10.0::DOUBLE AS coverage")
-def cluster_coverage(spark, sf_dir):  # A17
-    return diversity.cluster_coverage(members(spark, sf_dir).filter("id % 7 = 0"), 10)
+@query(f"SELECT count(DISTINCT cluster)::DOUBLE / 10.0::DOUBLE AS coverage FROM {PICKED}")
+def cluster_coverage(spark, sf_dir):  # A17, of the selection
+    return diversity.cluster_coverage(mixed_selection(spark, sf_dir), 10)
 
 
-@query(f"WITH c AS (SELECT count(*)::DOUBLE AS n FROM ({S}) WHERE id % 7 = 0 GROUP BY cluster), t AS (SELECT sum(n) t, count(*) k FROM c) SELECT round(sum(-(n / t) * ln(n / t + 1e-12)) / ln(any_value(k)), 6) AS balance FROM c, t")
+@query(f"WITH c AS (SELECT count(*)::DOUBLE AS n FROM {PICKED} GROUP BY cluster), t AS (SELECT sum(n) t, count(*) k FROM c) SELECT round(sum(-(n / t) * ln(n / t + 1e-12)) / ln(any_value(k)), 6) AS balance FROM c, t")
 def selection_balance(spark, sf_dir):  # A18
-    counts = members(spark, sf_dir).filter("id % 7 = 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    counts = mixed_selection(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return diversity.balance(counts).select(r6(F.col("balance"), "balance"))
 
 
 # ---- sampling ----
 
-POST_SQL = f"(SELECT cluster, 1.0::DOUBLE + sum(error) AS alpha, 1.0::DOUBLE + sum(1 - error) AS beta, (cluster % 3)::BIGINT AS visits FROM (SELECT (id % 10)::INT AS cluster, error FROM ({EV}) WHERE round < 10) GROUP BY cluster)"
+POST_SQL = f"(SELECT cluster, 1.0::DOUBLE + sum(error) AS alpha, 1.0::DOUBLE + sum(1 - error) AS beta, (cluster % 3)::BIGINT AS visits FROM (SELECT (id % 10)::INT AS cluster, error FROM ({EV})) GROUP BY cluster)"
 
 
-def _posteriors(spark, sf_dir, rounds: int | None = 10):
-    """Posteriors from the first ``rounds`` rounds, or from all."""
+def _posteriors(spark, sf_dir):
+    """Posteriors from all events."""
     e = events(spark, sf_dir).withColumn("cluster", (F.col("id") % 10).cast("int"))
-    e = e if rounds is None else e.filter(F.col("round") < rounds)
     return e.groupBy("cluster").agg((1.0 + F.sum("error")).alias("alpha"), (1.0 + F.sum(1 - F.col("error"))).alias("beta")).withColumn("visits", (F.col("cluster") % 3).cast("bigint"))
 
 
-def of_all_rounds(name: str) -> str:
-    """The SQL of a query that rests on ``POST_SQL``, with all events in it."""
-    return ORACLE_SQL[name].replace(POST_SQL, POST_SQL.replace(" WHERE round < 10", ""))
-
-
 @query(f"SELECT cluster, round(1 + 2 * s, 6) AS alpha, round(1 + 2 * (1 - s), 6) AS beta, 0::BIGINT AS visits FROM (SELECT cluster, count(*)::DOUBLE / 100 AS s FROM ({S}) GROUP BY cluster)")
 def posterior_init(spark, sf_dir):  # B1
     c = members(spark, sf_dir).groupBy("cluster").agg((F.count(F.lit(1)) / 100.0).alias("prior_score"))
@@ -490,11 +493,6 @@ def posterior_stats(spark, sf_dir):  # A11
     return _posteriors(spark, sf_dir).select("cluster", r6(sampling.posterior_mean(), "mean"), r6(sampling.posterior_variance(), "variance"), "visits")
 
 
-@query(of_all_rounds("posterior_stats"))
-def posterior_stats_all(spark, sf_dir):  # A11, of all events
-    return _posteriors(spark, sf_dir, None).select("cluster", r6(sampling.posterior_mean(), "mean"), r6(sampling.posterior_variance(), "variance"), "visits")
-
-
 def gamma_sql(shape: str, name: str, key: str, source: str, seed: int = 42, round_no: int = 3) -> str:
     """Gamma draws (key, g) by the same trials."""
     u = lambda k: f"((0.5 + {u_sql(seed, name, str(round_no), key, 't', str(k))} * 4503599627370496.0) / 4503599627370496.0)"
@@ -515,23 +513,13 @@ def warmup_select(spark, sf_dir):  # B4 F11
     return sampling.thompson_select(_posteriors(spark, sf_dir), 6, 3, warmup_rounds=5).select("cluster", "rank")
 
 
-@query(of_all_rounds("thompson_topk"))
-def thompson_topk_all(spark, sf_dir):  # B2 B3 B5, of all events
-    return sampling.thompson_select(_posteriors(spark, sf_dir, None), 3, 3).select("cluster", r6(F.col("theta"), "theta"), "rank")
-
-
-@query(of_all_rounds("warmup_select"))
-def warmup_select_all(spark, sf_dir):  # B4, of all events
-    return sampling.thompson_select(_posteriors(spark, sf_dir, None), 6, 3, warmup_rounds=5).select("cluster", "rank")
-
-
 BUDGET_IN = f"(SELECT cluster, alpha / (alpha + beta) AS weight, (20 + 11 * (cluster % 4))::BIGINT AS capacity, visits FROM {POST_SQL})"
 SPREAD = """, s AS (SELECT *, greatest(0, room) AS r, {total} - sum(alloc) OVER () AS rest FROM {source})
 SELECT cluster, (alloc + greatest(0, least(r, rest - coalesce(sum(r) OVER (ORDER BY weight DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS alloc FROM s"""
 
 
-def _budget_input(spark, sf_dir, rounds: int | None = 10):
-    return _posteriors(spark, sf_dir, rounds).select("cluster", sampling.posterior_mean().alias("weight"), (20 + 11 * (F.col("cluster") % 4)).cast("bigint").alias("capacity"), "visits")
+def _budget_input(spark, sf_dir):
+    return _posteriors(spark, sf_dir).select("cluster", sampling.posterior_mean().alias("weight"), (20 + 11 * (F.col("cluster") % 4)).cast("bigint").alias("capacity"), "visits")
 
 
 @query(f"WITH i AS (SELECT *, greatest(5, floor(40.0 / count(*) OVER ())) AS base, floor(600.0 / count(*) OVER ()) AS most FROM {BUDGET_IN}), b AS (SELECT *, least(capacity, base) AS a0, 200 - sum(least(capacity, base)) OVER () AS lft, sum(weight) OVER () AS ws FROM i), c AS (SELECT cluster, weight, CASE WHEN lft > 0 THEN least(capacity, a0 + floor(lft * weight / (ws + 1e-12)), most) ELSE a0 END AS alloc, capacity, most FROM b), d AS (SELECT *, least(capacity, most) - alloc AS room FROM c)" + SPREAD.format(total=200, source="d"))
@@ -544,22 +532,12 @@ def budget_adaptive(spark, sf_dir):  # B8 F12
     return sampling.allocate_adaptive(_budget_input(spark, sf_dir), 200)
 
 
-@query(of_all_rounds("budget_allocate"))
-def budget_allocate_all(spark, sf_dir):  # B6, of all events
-    return sampling.allocate(_budget_input(spark, sf_dir, None), 200)
-
-
-@query(of_all_rounds("budget_adaptive"))
-def budget_adaptive_all(spark, sf_dir):  # B8, of all events
-    return sampling.allocate_adaptive(_budget_input(spark, sf_dir, None), 200)
-
-
 SCORED_SQL = KNN_SQL + RARITY_SQL + NOVELTY_SQL + ", g AS (SELECT y.id, y.cluster, rarity, novelty, 0.5 * ((y.id % 11) / 10.0::DOUBLE) + 0.5 * (0.5 * rarity + 0.5 * (1 - (y.id % 11) / 10.0::DOUBLE) * novelty) AS priority FROM y JOIN z USING (id))"
 
 
 def _scored(spark, sf_dir):
     m, refs = _references(spark, sf_dir)
-    df = sampling.rarity(m, refs).join(sampling.novelty(m, m.filter("id % 10 = 0").select("v")).drop("cluster"), "id")
+    df = sampling.rarity(m, refs).join(sampling.novelty(m, _history(spark, sf_dir)).drop("cluster"), "id")
     return df.withColumn("priority", sampling.priority((F.col("id") % 11) / 10.0, F.col("rarity"), F.col("novelty")))
 
 
@@ -568,45 +546,6 @@ def priority_score(spark, sf_dir):  # B11
     return _scored(spark, sf_dir).select("id", "cluster", F.round("priority", 5).alias("priority"))
 
 
-MIX_IN = f"(SELECT id, cluster, (id * 37 % 101) / 100.0::DOUBLE AS priority, (id * 53 % 97) / 96.0::DOUBLE AS rarity, (10 + cluster * 7)::BIGINT AS n FROM ({S}) WHERE id % 13 <> 0)"
-
-
-@query(f"""
-WITH i AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS c, row_number() OVER (PARTITION BY cluster ORDER BY priority DESC, id) AS p FROM {MIX_IN}),
-j AS (SELECT *, CASE WHEN p <= floor(n * 0.8::DOUBLE) THEN 0 ELSE 1 END AS t FROM i), k AS (SELECT *, row_number() OVER (PARTITION BY cluster, t ORDER BY rarity DESC, id) AS r FROM j),
-l AS (SELECT *, CASE WHEN t = 1 AND r <= floor(n * 0.15::DOUBLE) THEN 2 ELSE t END AS s FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY cluster, s ORDER BY {u_sql(42, 'mixed', '1', 'id')}, id) AS u FROM l)
-SELECT id, cluster, CASE WHEN c <= n THEN 'all' WHEN s = 0 THEN 'priority' WHEN s = 2 THEN 'rarity' ELSE 'random' END AS picked_by FROM o
-WHERE c <= n OR s IN (0, 2) OR u <= n - floor(n * 0.8::DOUBLE) - floor(n * 0.15::DOUBLE)
-""")
-def mixed_selection(spark, sf_dir):  # W2 B12 L3 J4 F6
-    m = members(spark, sf_dir).drop("v")
-    retired = m.filter("id % 13 = 0").select("id")
-    c = m.join(retired, "id", "left_anti").withColumns({"priority": (F.col("id") * 37 % 101) / 100.0, "rarity": (F.col("id") * 53 % 97) / 96.0})
-    budgets = m.select("cluster").distinct().withColumn("n", (10 + F.col("cluster") * 7).cast("bigint"))
-    return sampling.mixed_selection(c, budgets).select("id", "cluster", "picked_by")
-
-
-PICKED = f"(SELECT id, cluster FROM ({ORACLE_SQL['mixed_selection']}))"
-
-
-@query(f"SELECT count(DISTINCT cluster)::DOUBLE / 10.0::DOUBLE AS coverage FROM {PICKED}")
-def cluster_coverage_selected(spark, sf_dir):  # A17, of the selection
-    return diversity.cluster_coverage(mixed_selection(spark, sf_dir), 10)
-
-
-@query(ORACLE_SQL["selection_balance"].replace(f"FROM ({S}) WHERE id % 7 = 0", f"FROM {PICKED}"))
-def selection_balance_selected(spark, sf_dir):  # A18, of the selection
-    counts = mixed_selection(spark, sf_dir).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return diversity.balance(counts).select(r6(F.col("balance"), "balance"))
-
-
-@query(ORACLE_SQL["novelty"].replace(HIST, f"(SELECT v FROM ({S}) WHERE id IN (SELECT id FROM {PICKED}))"))
-def novelty_selected(spark, sf_dir):  # B10 J11 J17, against the selection
-    m = members(spark, sf_dir)
-    history = m.join(mixed_selection(spark, sf_dir).select("id"), "id", "left_semi").select("v")
-    return sampling.novelty(m, history).select("id", "cluster", F.round("novelty", 5).alias("novelty"))
-
-
 @query(f"SELECT doc_id AS id, round({u_sql(42, 'baseline', '0', 'doc_id')}, 9) AS u FROM documents ORDER BY {u_sql(42, 'baseline', '0', 'doc_id')}, doc_id LIMIT 50")
 def random_baseline(spark, sf_dir):  # B13
     return sampling.random_baseline(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), 50).select("id", F.round("u", 9).alias("u"))
@@ -670,14 +609,8 @@ def cluster_error_stats(spark, sf_dir):  # J3 A8 A9 E16 E17
     return feedback.cluster_errors(events(spark, sf_dir), members(spark, sf_dir)).select("cluster", "n", *[r6(F.col(c), c) for c in ("mean_error", "std_error", "min_error", "max_error")])
 
 
-@query(f"SELECT p.cluster, round(alpha + coalesce(gain, 0), 6) AS alpha, round(beta + coalesce(loss, 0), 6) AS beta, visits FROM {POST_SQL} p LEFT JOIN {CE} c USING (cluster)")
-def posterior_update(spark, sf_dir):  # A10 K13
-    stats = feedback.cluster_errors(events(spark, sf_dir), members(spark, sf_dir))
-    return feedback.updated_posteriors(_posteriors(spark, sf_dir), stats).select("cluster", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"), "visits")
-
-
 @query(f"WITH p AS (SELECT DISTINCT cluster FROM ({S})) SELECT cluster, round(1 + coalesce(gain, 0), 6) AS alpha, round(1 + coalesce(loss, 0), 6) AS beta, 0::BIGINT AS visits FROM p LEFT JOIN {CE} c USING (cluster)")
-def posterior_update_all(spark, sf_dir):  # A10 K13, from the start, so that each event counts once
+def posterior_update(spark, sf_dir):  # A10 K13, from the start, so that each event counts once
     m = members(spark, sf_dir)
     start = sampling.initial_posteriors(m.select("cluster").distinct())
     return feedback.updated_posteriors(start, feedback.cluster_errors(events(spark, sf_dir), m)).select("cluster", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"), "visits")
@@ -737,20 +670,12 @@ def task_accuracy(spark, sf_dir):  # A19 E15
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("n"), r6(feedback.accuracy(F.col("event_id") % 7 > 2), "accuracy"))
 
 
-@query("""
-SELECT d.doc_id, contains(lower(d.text), lower(trim(b.text))) OR contains(lower(b.text), lower(trim(d.text))) AS correct FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
-""")
-def containment_match(spark, sf_dir):  # F15
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", text.contains_match(F.col("target"), F.col("text")).alias("correct"))
-
-
 @query("""
 WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark), n AS (SELECT count(*) AS items FROM benchmark)
 SELECT d.doc_id, b.pos, coalesce(contains(lower(d.text), lower(trim(b.text))) OR contains(lower(b.text), lower(trim(d.text))), false) AS correct
 FROM (SELECT *, coalesce(((doc_id % items) + items) % items, 0) AS pos FROM documents, n) d FULL JOIN b USING (pos)
 """)
-def containment_match_all(spark, sf_dir):  # F15, every document and every item; an item that no document meets has a null doc_id
+def containment_match(spark, sf_dir):  # F15, every document and every item; an item that no document meets has a null doc_id
     items = table(spark, sf_dir, "benchmark")
     b = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("pos"), F.col("text").alias("target"))
     n = items.agg(F.count(F.lit(1)).alias("items"))
@@ -842,20 +767,25 @@ def ids_in_both(spark, sf_dir):  # U5
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).intersect(table(spark, sf_dir, "embeddings").select("vec_id"))
 
 
-@query("SELECT key, coalesce(b, a) AS value FROM (SELECT 'lang' AS key, lang AS a, NULL AS b, doc_id FROM documents UNION ALL SELECT 'source', source, 'over', doc_id FROM documents) WHERE doc_id = 1")
-def deep_merge(spark, sf_dir):  # J15
-    d = table(spark, sf_dir, "documents").filter("doc_id = 1")
-    merged = F.map_zip_with(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), F.create_map(F.lit("source"), F.lit("over")), lambda k, a, b: F.coalesce(b, a))
-    return d.select(F.explode(merged).alias("key", "value"))
-
-
 @query("SELECT doc_id, 'lang' AS key, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', 'over' FROM documents")
-def deep_merge_all(spark, sf_dir):  # J15, of every document
+def deep_merge(spark, sf_dir):  # J15, of every document
     d = table(spark, sf_dir, "documents")
     merged = F.map_zip_with(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), F.create_map(F.lit("source"), F.lit("over")), lambda k, a, b: F.coalesce(b, a))
     return d.select("doc_id", F.explode(merged).alias("key", "value"))
 
 
+@query("""
+SELECT * FROM (VALUES ('budget.base_ratio', '0.2'), ('budget.total', '500'), ('clustering.k', '100'), ('clustering.noise', '"drop"'), ('priority.ratios', '[0.7, 0.3]'), ('retirement.patience', '3')) t(key, value)
+""")
+def config_merge(spark, sf_dir):  # J15 P18 of configurations
+    from .plans.config import DEFAULTS, merged
+
+    over = {"budget": {"total": 500}, "clustering": {"noise": "drop"}, "priority": {"ratios": [0.7, 0.3]}}
+    config = merged(DEFAULTS, over)
+    rows = [(f"{a}.{b}", json.dumps(config[a][b])) for a, b in (("budget", "base_ratio"), ("budget", "total"), ("clustering", "k"), ("clustering", "noise"), ("priority", "ratios"), ("retirement", "patience"))]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
 @query()
 def hash_embedding(spark, sf_dir):  # M1 M2 M3 M4 M5
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -895,15 +825,8 @@ def stream_posterior(spark, sf_dir):  # section 2.14
     return got.filter(F.col("_batch") == last).select("cluster", r6(F.col("alpha"), "alpha"), r6(F.col("beta"), "beta"))
 
 
-@query(f"SELECT id, count(*) AS n FROM ({EV}) GROUP BY id")
-def stream_retirement(spark, sf_dir):  # W4 as a stream
-    e = events(spark, sf_dir).select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("round"), "error")
-    got = _streamed(spark, e, lambda s: streaming.stream_retirement(s, 0.1, 2), "update")
-    return got.groupBy("id").agg(F.max("n").alias("n"))
-
-
 @query(STREAK_SQL + f" SELECT id, arg_max(t.streak::BIGINT, (e.ts, event_id)) AS streak, bool_or(t.retired) AS retired, count(*) AS n FROM t JOIN (SELECT event_id, ts FROM ({EV})) e USING (event_id) GROUP BY id")
-def stream_retirement_states(spark, sf_dir):  # W4 as a stream, each sample's state at the end
+def stream_retirement(spark, sf_dir):  # W4 as a stream, each sample's state at the end
     e = events(spark, sf_dir).select("id", F.row_number().over(Window.partitionBy("id").orderBy("ts", "event_id")).cast("long").alias("round"), "error", F.col("round").alias("day"))
     batches = [F.col("day") < 10, F.col("day").between(10, 19), (F.col("day") >= 20) | F.col("day").isNull()]
     got = _streamed(spark, e, lambda s: streaming.stream_retirement(s, 0.1, 2), "update", batches)
@@ -913,8 +836,11 @@ def stream_retirement_states(spark, sf_dir):  # W4 as a stream, each sample's st
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def windowed_feedback(spark, sf_dir):  # extension of section 2.14
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streaming.windowed_feedback(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6(F.col("mean"), "mean"))
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_type", "value")
+    day = F.dayofmonth("ts")
+    got = _streamed(spark, e, streaming.windowed_feedback, "update", [day <= 10, day.between(11, 20), (day > 20) | day.isNull()])
+    last = got.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "mean"), "_batch").alias("w")).select("start", "event_type", "w.*")
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6(F.col("mean"), "mean"))
 
 
 # ---- the whole pipeline ----

@@ -47,8 +47,8 @@ def test_query(spark, sf_dir, sql, name):
 
 def test_every_row_takes_part(spark, sf_dir):
     n = engine.table(spark, sf_dir, "documents").count()
-    assert engine.QUERIES["training_prompts_all"](spark, sf_dir).filter("plain is not null").count() == n
-    assert engine.QUERIES["deep_merge_all"](spark, sf_dir).count() == 2 * n
+    assert engine.QUERIES["training_prompts"](spark, sf_dir).filter("plain is not null").count() == n
+    assert engine.QUERIES["deep_merge"](spark, sf_dir).count() == 2 * n
 
 
 def test_containment_of_every_document_and_item(spark, tmp_path):
@@ -56,19 +56,19 @@ def test_containment_of_every_document_and_item(spark, tmp_path):
     items = [(100, "item a"), (7, "item b"), (300, "item c"), (301, "alone"), (302, "last")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = sorted((tuple(r) for r in engine.QUERIES["containment_match_all"](spark, str(tmp_path)).collect()), key=repr)
+    got = sorted((tuple(r) for r in engine.QUERIES["containment_match"](spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted([(None, 0, False), (-3, 2, True), (0, 0, False), (1, 1, False), (210, 0, False), (None, 3, False), (None, 4, False)], key=repr)
     own = duckdb.connect()
     for t in ("documents", "benchmark"):
         own.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    assert sorted(own.execute(engine.ORACLE_SQL["containment_match_all"]).fetchall(), key=repr) == got
+    assert sorted(own.execute(engine.ORACLE_SQL["containment_match"]).fetchall(), key=repr) == got
 
 
 def test_posteriors_count_every_event_once(spark, sf_dir):
     events, members = engine.events(spark, sf_dir), engine.members(spark, sf_dir)
-    weight = engine._posteriors(spark, sf_dir, None).selectExpr("sum(alpha + beta - 2)").first()[0]
+    weight = engine._posteriors(spark, sf_dir).selectExpr("sum(alpha + beta - 2)").first()[0]
     assert weight == pytest.approx(events.count())
-    weight = engine.QUERIES["posterior_update_all"](spark, sf_dir).selectExpr("sum(alpha + beta - 2)").first()[0]
+    weight = engine.QUERIES["posterior_update"](spark, sf_dir).selectExpr("sum(alpha + beta - 2)").first()[0]
     assert weight == pytest.approx(events.join(members, "id").count(), abs=1e-4)
 
 
@@ -76,11 +76,11 @@ def test_vectors_and_states_are_returned(spark, sf_dir):
     assert engine.QUERIES["hash_embedding"](spark, sf_dir).select("embedding").distinct().count() > 1
     assert engine.QUERIES["pca_reduced"](spark, sf_dir).select("v").distinct().count() > 1
     batch = engine.QUERIES["retirement_streak"](spark, sf_dir).groupBy("id").agg(F.max("retired").alias("retired"))
-    states = engine.QUERIES["stream_retirement_states"](spark, sf_dir)
+    states = engine.QUERIES["stream_retirement"](spark, sf_dir)
     assert sorted(states.select("id", "retired").collect()) == sorted(batch.collect())
 
 
 def test_csv_round_trip_of_quotes_and_lines(spark, tmp_path):
     rows = [(1, "u", 'a "quote", a comma\nand a line'), (2, "v", ' <p class="x">\\</p>\r\n ')]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    assert sorted(tuple(r) for r in engine.QUERIES["csv_round_trip_all"](spark, str(tmp_path)).collect()) == rows
+    assert sorted(tuple(r) for r in engine.QUERIES["csv_round_trip"](spark, str(tmp_path)).collect()) == rows
