@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 from collections.abc import Callable
 
@@ -31,11 +32,16 @@ def piece_model() -> sentencepiece_lattice.Model:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the encoding, and whether decoding gives the text back."""
-    model, docs = piece_model(), table(spark, sf_dir, "documents")
-    done = sentencepiece_lattice.encode(docs, model)
-    text = sentencepiece_lattice.decode(F.col("ids"), model, spark)
-    return done.select("doc_id", "n_bytes", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+    """Digests of the encoding, and of the text that decoding gives."""
+    done = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), piece_model(), decoded=True)
+    return done.select("doc_id", "n_bytes", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same encoding by the Viterbi fold: the pieces of the model with their scores as a unigram model."""
+    model = dataclasses.replace(piece_model(), kind=sentencepiece_lattice.UNIGRAM)
+    done = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), model, decoded=True)
+    return done.select("doc_id", "n_bytes", "n_pieces", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +126,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reach)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "sentencepiece_unigram": sentencepiece_unigram,
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,

@@ -33,6 +33,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +55,7 @@ UNKNOWN_PENALTY = 10.0
 #: Partitions of units for each shuffle partition.
 PARTS = 10
 #: Bytes of documents (as stored) from which the common units are taken, and how many of them are broadcast at most (about 30 bytes each).
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 32 << 20
 COMMON_UNITS = 1 << 18
 #: In a fold's result, a character that is no part of a longer piece: this plus its code point.
 CHARACTER = 1 << 30
@@ -146,6 +148,11 @@ class Model:
         """The text as the model sees it."""
         return (SPACE if self.dummy_prefix and text else "") + (text or "").replace(" ", SPACE)
 
+    def text_of(self, ids: bytes) -> str:
+        """The text of packed ids, piece by piece."""
+        data = b"".join([self.raw[k] for k in np.frombuffer(ids, "<i4").tolist()])
+        return (data[1:] if self.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+
     def without_piece(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
@@ -446,11 +453,64 @@ def _resolved(model: Model, ids: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     return np.concatenate([*parts, ids[last:]]), starts + grown[starts]
 
 
-ENCODED = T.StructType([*fields("n_bytes long, n_pieces long").fields, T.StructField("ids", T.BinaryType())])
+#: Encodings of units that are packed in one go.
+PACK_ROWS = 1 << 18
+
 
+def _packed_encodings(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, place, ids) of a partition as one compressed row for each block; null ids are empty."""
 
-def encode(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_pieces, ids (32-bit little-endian numbers in one binary)."""
+    def rows(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        block, place = table["block"].to_numpy(), table["place"].to_numpy().astype("<i4")
+        size = pc.fill_null(pc.list_value_length(table["ids"]), 0).to_numpy().astype("<i4")
+        values = pc.list_flatten(table["ids"]).to_numpy().astype("<i4")
+        starts = np.concatenate([[0], np.cumsum(size)])
+        order = np.lexsort((place, block))
+        edges = np.append(np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1)), len(order))
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = order[a:b]
+            n = size[own]
+            ids = values[np.arange(n.sum()) + np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)])[:-1], n)]
+            out.append(zstandard.compress(np.int32(b - a).tobytes() + b"".join(_planes(x) for x in (np.diff(place[own], prepend=np.int32(0)), n, ids)), 3))
+        return pa.RecordBatch.from_arrays([pa.array(block[order[edges[:-1]]]), pa.array(out, pa.binary())], names=["block", "encodings"])
+
+    kept, n = [], 0
+    for frame in frames:
+        kept.append(frame)
+        n += len(frame)
+        if n >= PACK_ROWS:
+            yield rows(kept)
+            kept, n = [], 0
+    if n:
+        yield rows(kept)
+    trim()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by the rank of their bytes, which compress better so."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked_encodings(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, ids, starts of each place's ids and the end) of all rows of a block."""
+    places, sizes, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for pack in packs:
+        raw = np.frombuffer(zstandard.decompress(pack), np.uint8)
+        n = int(raw[:4].view("<i4")[0])
+        numbers = lambda at, k: np.ascontiguousarray(raw[at : at + 4 * k].reshape(4, -1).T).view("<i4").ravel()
+        places.append(np.cumsum(numbers(4, n), dtype=np.int32))
+        sizes.append(numbers(4 + 4 * n, n))
+        values.append(numbers(4 + 8 * n, int(sizes[-1].sum())))
+    return np.concatenate(places), np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+ENCODED = fields("n_bytes long, n_pieces long, ids binary, decoded string")
+
+
+def encode(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES, decoded: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_bytes, n_pieces, ids (32-bit little-endian numbers in one binary); with ``decoded`` also the text that ``ids`` give."""
     spark = docs.sparkSession
     narrow = docs.select("doc_id", "text")
     shared, common = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(common_units(narrow, model, sample_bytes))
@@ -459,28 +519,30 @@ def encode(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES) -> D
     # Many small partitions: edges of one are grouped in memory, without being sorted (see memory.small_batches).
     placed = narrow.mapInArrow(_units(shared, common), "block long, place int, unit string").filter("unit is not null").repartition(PARTS * shuffle_width(spark), "unit")
     units = placed.groupBy("unit").agg(F.max("place").alias("last"), F.count("block").alias("n")).filter("last >= 0 and n > 0").select("unit")
-    back = placed.join(encoded_units(units, model).hint("shuffle_hash"), "unit", "left").select("block", "place", "ids")
+    found = placed.join(encoded_units(units, model).hint("shuffle_hash"), "unit", "left").select("block", "place", "ids")
+    back = found.mapInArrow(_packed_encodings, "block long, encodings binary")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *ENCODED.fields])
 
     def assemble(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
-        parts = [_assembled(shared.value, common.value, unpacked(payload), own) for payload in texts["payload"].to_pylist()]
+        parts = [_assembled(shared.value, common.value, unpacked(payload), own["encodings"].to_pylist(), decoded) for payload in texts["payload"].to_pylist()]
         trim()
-        return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_pieces": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+        if not parts:
+            raise RuntimeError("encodings of a block whose texts are not there")
+        return pa.concat_tables(parts)
 
-    return packed(narrow, BLOCK_CHARS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
+    done = packed(narrow, BLOCK_CHARS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
+    return done if decoded else done.drop("decoded")
 
 
-def _assembled(model: Model, common: Common, block: pa.Table, own: pa.Table) -> pa.Table:
-    """The encodings of a block's texts; ``own`` has (place, ids) of the units that went to the lattice."""
+def _assembled(model: Model, common: Common, block: pa.Table, packs: list[bytes], decoded: bool) -> pa.Table:
+    """The encodings of a block's texts; ``packs`` have those of the units that went to the lattice."""
     texts = block["text"].to_pylist()
     cut = _Cut(model, common, texts)
     order = cut.lattice(model)
-    place = own["place"].to_numpy()
+    place, ids, starts = _unpacked_encodings(packs)
     if not np.array_equal(np.unique(place), np.arange(len(order))):
         raise RuntimeError("the units of a block are not those that were encoded")
-    lists = own["ids"].combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    ids, starts = _resolved(model, np.array(lists.values, np.int32), np.array(lists.offsets, np.int64))
+    ids, starts = _resolved(model, ids, starts)
     row = np.zeros(len(order), np.int64)
     row[place] = np.arange(len(place))
     # Units without an answer: those that the lattice does not take, and those without any edge.
@@ -507,7 +569,7 @@ def _assembled(model: Model, common: Common, block: pa.Table, own: pa.Table) ->
         out += [found[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
     return pa.table({
         "doc_id": block["doc_id"], "n_bytes": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-        "n_pieces": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary()),
+        "n_pieces": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary()), "decoded": pa.array([model.text_of(x) if decoded else None for x in out], pa.string()),
     })
 
 
@@ -517,12 +579,8 @@ def decode(ids: Column, model: Model, spark: SparkSession) -> Column:
 
     @F.pandas_udf(T.StringType())
     def decoded(column: pd.Series) -> pd.Series:
-        raw, skip = shared.value.raw, shared.value.dummy_prefix
-        out = []
-        for x in column:
-            data = b"".join([raw[k] for k in np.frombuffer(x, "<i4").tolist()])
-            out.append((data[1:] if skip and data[:1] == b" " else data).decode("utf-8", "replace"))
+        out = column.map(shared.value.text_of)
         trim()
-        return pd.Series(out, dtype=object)
+        return out
 
     return decoded(ids)

@@ -177,6 +177,32 @@ def test_viterbi_fold(spark, model):
             assert got[u] == library.encode(u[1:])
 
 
+def test_unigram_query(spark, sf_dir):
+    """All documents through the Viterbi fold against the plain algorithm; short ones against the library, whose sums are 32-bit."""
+    import dataclasses
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(queries.PIECES, "rb").read())
+    proto.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor()
+    library.LoadFromSerializedProto(proto.SerializeToString())
+    unigram = dataclasses.replace(queries.piece_model(), kind=sentencepiece_lattice.UNIGRAM)
+    got = {r.doc_id: r for r in queries.sentencepiece_unigram(spark, sf_dir).collect()}
+    short = 0
+    for d, t in texts(documents(spark, sf_dir)):
+        marked, (_, starts, _, _) = unigram.marked(t), unigram.cut([t])
+        ids = [k for a, b in zip(starts[:-1], starts[1:], strict=True) for k in unigram.encode_unit(marked[a:b])]
+        digest = hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+        assert got[d].ids_sha256 == digest and got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        if 0 < len(t) < 300:
+            short += 1
+            assert library.encode(t) == ids
+    assert short
+
+
 def test_encoding_of_nothing(empty, model):
     assert sentencepiece_lattice.encode(empty, model).count() == 0
 
