@@ -153,7 +153,7 @@ def test_errors(results: DataFrame) -> DataFrame:
 
 
 def run_tests(samples: DataFrame, timeout: int = 5, allow_code: bool = False) -> DataFrame:
-    """(id, passed) of running each test (id, code, input, call, expected) in a process of its own.
+    """(id, passed) of running each test (id, code, input, call, expected) in a process of its own; a null ``expected`` only asks that the code runs.
 
     Runs untrusted code, so it must be asked for with ``allow_code``.
     """
@@ -167,7 +167,7 @@ def run_tests(samples: DataFrame, timeout: int = 5, allow_code: bool = False) ->
                 script = f"{code}\nresult = {call}\nprint(result)" if call else code
                 try:
                     done = subprocess.run([sys.executable, "-I", "-c", script], input=given or "", capture_output=True, text=True, timeout=timeout)
-                    passed.append(done.returncode == 0 and done.stdout.strip() == (expected or "").strip())
+                    passed.append(done.returncode == 0 and (expected is None or done.stdout.strip() == expected.strip()))
                 except subprocess.TimeoutExpired:
                     passed.append(False)
             yield pd.DataFrame({"id": list(frame["id"]), "passed": passed})

@@ -97,6 +97,43 @@ def load_yaml(path: str) -> dict:
     return merged(load_yaml(os.path.join(os.path.dirname(path), base)), data) if base else data
 
 
+def load_python(path: str, function: str | None = None, **arguments) -> dict:
+    """What a function of a Python file returns: ``get_config``, or the file's only function whose name ends so, unless named. The file is run, so it must be trusted."""
+    import runpy
+
+    names = runpy.run_path(path)
+    found = [n for n, f in names.items() if callable(f) and n.startswith("get_") and n.endswith("config")]
+    if function is None:
+        function = "get_config" if "get_config" in found else found[0] if len(found) == 1 else None
+    if function is None:
+        raise ValueError(f"{path} has {len(found)} functions get_..config; name one")
+    if not callable(names.get(function)):
+        raise AttributeError(f"{path} has no function {function!r}")
+    return names[function](**arguments)
+
+
+def load(path: str, over: dict | None = None, settings: list[str] | None = None, function: str | None = None, **arguments) -> dict:
+    """A whole configuration from a file (``.py``, ``.yaml``, ``.yml``) on top of the defaults, then overrides, then settings."""
+    kind = os.path.splitext(path)[1]
+    if kind == ".py":
+        data = load_python(path, function, **arguments)
+    elif kind in (".yaml", ".yml"):
+        data = load_yaml(path)
+    else:
+        raise ValueError(f"no configuration format {kind!r}")
+    return preset("default", merged(data, over or {}), settings)
+
+
+TASKS = ("math", "instruction", "code", "mmlu", "bbh", "mmlu_bbh")
+
+
+def for_task(task: str, path: str, budget: int | None = None, settings: list[str] | None = None) -> dict:
+    """The preset of a task for the data at ``path``, with another budget per round where one is given."""
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}; there are {', '.join(TASKS)}")
+    return preset(task, merged({"data": {"path": path}}, {"budget": {"total": budget}} if budget is not None else {}), settings)
+
+
 def save_yaml(config: dict, path: str) -> None:
     import yaml
 

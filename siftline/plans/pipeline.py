@@ -36,7 +36,7 @@ class SelectionPipeline:
         """Load (or take) samples, embed them (or take vectors id, v), cluster, score and compress; the table of clusters."""
         c = self.config
         if samples is None:
-            samples = readers.load(self.spark, path, c["data"]["fields"], c["data"]["min_length"], c["data"]["max_length"])
+            samples = readers.load(self.spark, path or c["data"].get("path"), c["data"]["fields"], c["data"]["min_length"], c["data"]["max_length"])
         samples = self._write(readers.last_wins(samples.withColumn("_at", F.monotonically_increasing_id()), "id", "_at").drop("_at"), "samples")
         if vectors is None:
             text = rendered_text(c["data"]["template"], {f: F.col(f) for f in ("instruction", "input", "output")})

@@ -282,3 +282,21 @@ def test_feedback_with_repeated_ids_and_running_state(spark, tmp_path):
     again.update_losses(3, third)
     last, (mean, var) = again._read("running").filter("round = 3").first(), third.selectExpr("avg(loss)", "var_pop(loss)").first()
     assert abs(last["mean"] - (0.99 * first["mean"] + 0.01 * mean)) < 1e-9 and abs(last["var"] - (0.99 * first["var"] + 0.01 * var)) < 1e-9
+
+
+def test_configuration_files_and_tasks(tmp_path):
+    (tmp_path / "own.py").write_text("def get_own_config(total=7):\n    return {'budget': {'total': total}, 'seed': 3}\n")
+    (tmp_path / "base.yaml").write_text("budget: {total: 9, base_ratio: 0.5}\n")
+    (tmp_path / "top.yaml").write_text("_base_: base.yaml\nbudget: {total: 10}\n")
+    got = config.load(str(tmp_path / "own.py"), total=8, settings=["seed=5"])
+    assert (got["budget"]["total"], got["seed"], got["budget"]["base_ratio"]) == (8, 5, config.DEFAULTS["budget"]["base_ratio"])
+    assert config.load(str(tmp_path / "top.yaml"), {"seed": 1})["budget"] == config.DEFAULTS["budget"] | {"total": 10, "base_ratio": 0.5}
+    assert config.for_task("math", "x.jsonl", 5)["budget"]["total"] == 5 and config.for_task("bbh", "x.jsonl")["data"]["path"] == "x.jsonl"
+    for wrong in (lambda: config.load("x.txt"), lambda: config.for_task("none", "x"), lambda: config.load_python(str(tmp_path / "own.py"), "get_config")):
+        with pytest.raises((ValueError, AttributeError)):
+            wrong()
+
+
+def test_code_that_only_has_to_run(spark):
+    t = spark.createDataFrame([(1, "x = 1", None, None, None), (2, "raise ValueError", None, None, None)], "id long, code string, input string, call string, expected string")
+    assert sorted(rows(feedback.test_errors(feedback.run_tests(t, allow_code=True)))) == [(1, 0.0), (2, 1.0)]
