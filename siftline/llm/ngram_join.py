@@ -45,6 +45,8 @@ N = 5
 #: Similarity in hundredths.
 LEAST = 75
 BLOCK_BYTES = 3 << 20
+#: Documents of a row block at most: they are numbered by 16 bits.
+BLOCK_DOCS = 1 << 16
 #: Bits of a shingle's hash that name its column; the sizes and the equality of sets rest on 64 and 128 bits. Two shingles in one
 #: column can only loosen the bounds, which loses no link; that a pair's overlap is counted one too high takes two that
 #: collide in just these two documents (n * m / 2 ** 48).
@@ -134,7 +136,7 @@ def _blocks(n: int, bits: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 24
-        for frame in frames:
+        for frame in (f.slice(at, BLOCK_DOCS) for f in frames for at in range(0, len(f), BLOCK_DOCS)):
             ids, texts = frame.column(0), frame.column(1).to_pylist()
             for first, raw, offsets in batches(texts, BLOCK_BYTES):
                 n_docs = len(offsets) - 1
@@ -244,7 +246,7 @@ def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
 
 def incidence(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """One row per document: rid, doc_id, n, (f1, f2) of its set, k rarest columns to multiply, s shared columns, and those (packed)."""
-    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bits = max(6, min(20, (stored // RANGE_BYTES).bit_length()))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(n, bits), COLUMNS)
     counted = cut.groupBy("key").applyInPandas(trimmed(_count), COUNTED)
