@@ -12,8 +12,12 @@ ends here, which is one with a neighbour) are read off column by column, and mat
 Rows that are equal are collapsed to one with a count before any text moves: a run of equal rows is
 repeated in its whole width. Anchors with one occurrence have no partner and move no text.
 
-Bytes are compared, not hashes; only the equality of whole rows rests on 128 bits of hash. Shorter texts than ``LENGTH``
-lose nothing.
+An anchor with more than ``HOT_ROWS`` different rows (a passage in ever different surroundings) is no group of one task. Its rows are marked by
+counting: the strings of a row come in runs of ``STEP``; rows that share a run's whole extent share all its strings, rows that
+do not share its core share none, and only in between are strings counted one by one. All counts are aggregations.
+
+Bytes are compared, not hashes; only the equality of whole rows, and of the strings of hot anchors, rests on 128 bits of hash. Shorter texts
+than ``LENGTH`` lose nothing.
 
 Defined cases: a null text is empty. Rows that repeat are occurrences like any others, so texts of ``LENGTH`` bytes or more that occur
 twice are removed whole, in both rows. Matches never cross documents. Extra columns are ignored.
@@ -44,6 +48,10 @@ BUCKET_BYTES = 1 << 20
 #: Rows of the table for which the transform is built at a time, as far as single anchors allow.
 ROWS = 4096
 PAD = 0xFF  # no byte of UTF-8
+#: Different rows of an anchor that one task marks; an anchor with more is split.
+HOT_ROWS = 4096
+#: Strings of a row, by their first bytes, that are looked at together where an anchor is split.
+STEP = 16
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -91,7 +99,7 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
 
 
 FOUND = fields("block long, doc int, place long, size long, anchor long, row long")
-SHIPPED = T.StructType([*fields("bucket int, anchor long, block long, doc int, place long, left int, own boolean").fields, T.StructField("bytes", T.BinaryType())])
+SHIPPED = T.StructType([*fields("bucket int, anchor long, block long, doc int, place long, left int, own boolean, hot boolean").fields, T.StructField("bytes", T.BinaryType())])
 MARKS = fields("block long, doc int, start long, stop long")
 
 
@@ -228,7 +236,7 @@ def _ship(length: int, bits: int):
         anchor, place = rows["anchor"].to_numpy(), rows["place"].to_numpy()
         columns = {
             "bucket": pa.array((anchor.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)), "anchor": rows["anchor"], "block": rows["block"], "doc": rows["doc"], "place": rows["place"],
-            "left": pa.array(np.minimum(place, length - GRAM).astype(np.int32)), "own": rows["own"], "bytes": pa.array(data, pa.binary()),
+            "left": pa.array(np.minimum(place, length - GRAM).astype(np.int32)), "own": rows["own"], "hot": rows["hot"], "bytes": pa.array(data, pa.binary()),
         }
         del data
         trim()
@@ -237,6 +245,60 @@ def _ship(length: int, bits: int):
     return run
 
 
+ROW = ["anchor", "block", "doc", "place"]
+ROW_FIELDS = "anchor long, block long, doc int, place long, own boolean"
+RUNS = T.StructType([*fields(ROW_FIELDS + ", run int").fields, T.StructField("core", T.BinaryType()), T.StructField("extent", T.BinaryType())])
+STRINGS = T.StructType([*fields(ROW_FIELDS + ", column int").fields, T.StructField("string", T.BinaryType())])
+
+
+def _digest(data: memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _cut_rows(length: int, single: bool):
+    """Of rows of hot anchors: the core and the extent of each run of strings, or with ``single`` each string of the wanted runs."""
+    origin, last = length - GRAM, length - GRAM  # the last string begins where the anchor does
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (STRINGS if single else RUNS).names
+        for frame in frames:
+            out: list[tuple] = []
+            for r in frame.to_pylist():
+                data, first = memoryview(r["bytes"]), origin - r["left"]  # data[0] is in column `first`
+                ident = (r["anchor"], r["block"], r["doc"], r["place"], r["own"])
+                for k in sorted(r["runs"]) if single else range(last // STEP + 1):
+                    a, b = k * STEP, min(k * STEP + STEP - 1, last)
+                    lo, hi = max(a, first), min(b, first + len(data) - length)  # strings that the text has
+                    if lo > hi:
+                        continue
+                    if single:
+                        out += [(*ident, c, _digest(data[c - first : c - first + length])) for c in range(lo, hi + 1)]
+                    else:
+                        out.append((*ident, k, _digest(data[b - first : a + length - first]), _digest(data[a - first : b + length - first]) if (lo, hi) == (a, b) else None))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=names)
+            trim()
+
+    return run
+
+
+def _marks_of_hot(rows: DataFrame, length: int) -> DataFrame:
+    """MARKS of the rows (bytes around an anchor) of hot anchors, by counting."""
+    begin = F.col("place") - (length - GRAM)
+    runs = durable(rows.mapInArrow(_cut_rows(length, False), RUNS))
+    same = runs.filter("extent is not null").groupBy("anchor", "run", "extent").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    seen = durable(runs.join(same, ["anchor", "run", "extent"], "left").select(*ROW, "own", "run", "core", F.col("n").isNotNull().alias("whole")))
+    first = F.col("run") * STEP
+    whole = seen.filter("own and whole").select("block", "doc", (begin + first).alias("start"), (begin + F.least(first + STEP - 1, F.lit(length - GRAM)) + length).alias("stop"))
+    parted = seen.groupBy("anchor", "run", "core").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") & ~F.col("whole")).alias("open")).filter("n > 1 and open > 0")
+    wanted = seen.join(parted, ["anchor", "run", "core"]).groupBy(*ROW).agg(F.collect_list("run").alias("runs"))  # a row has few runs
+    strings = durable(rows.join(wanted, ROW).select(*ROW, "own", "left", "bytes", "runs").mapInArrow(_cut_rows(length, True), STRINGS))
+    shared = strings.groupBy("anchor", "column", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    single = strings.filter("own").join(shared, ["anchor", "column", "string"]).select("block", "doc", (begin + F.col("column")).alias("start"), (begin + F.col("column") + length).alias("stop"))
+    return whole.unionByName(single)
+
+
 def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
     doc, start, stop = (marks[c].to_numpy() for c in ("doc", "start", "stop"))
     order = np.lexsort((start, doc))
@@ -258,7 +320,7 @@ def _remove(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
                 kept.append(data[at:x])
                 at = y
             left = b"".join([*kept, data[at:]]) if spans else data
-            out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            out.append((len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if spans else text or ""))
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
@@ -283,10 +345,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated = found.join(known.filter("times > 1").select((F.col("anchor") + 0).alias("anchor"), (F.col("row") + 0).alias("row")), ["anchor", "row"])
     reach = length - GRAM
     whole = repeated.select("block", "doc", F.greatest(F.lit(0), F.col("place") - reach).alias("start"), F.least(F.col("size"), F.col("place") + length).alias("stop")).filter(F.col("stop") - F.col("start") >= length)
-    wanted = known.filter("kinds > 1").select(F.col("one.block").alias("block"), F.col("one.doc").alias("doc"), F.col("one.place").alias("place"), "anchor", (F.col("times") == 1).alias("own"))
+    wanted = known.filter("kinds > 1").select(F.col("one.block").alias("block"), F.col("one.doc").alias("doc"), F.col("one.place").alias("place"), "anchor", (F.col("times") == 1).alias("own"), (F.col("kinds") > HOT_ROWS).alias("hot"))
     texts = packed(narrow)
-    shipped = texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_ship(length, bits), SHIPPED)
-    marks = whole.select("block", "doc", "start", "stop").unionByName(shipped.groupBy("bucket").applyInArrow(trimmed(_mark(length)), MARKS))
+    ship = lambda rows: texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_ship(length, bits), SHIPPED)
+    marks = whole.select("block", "doc", "start", "stop").unionByName(ship(wanted.filter("not hot")).groupBy("bucket").applyInArrow(trimmed(_mark(length)), MARKS))
+    if not several.filter(F.col("kinds") > HOT_ROWS).isEmpty():
+        marks = marks.unionByName(_marks_of_hot(durable(ship(wanted.filter("hot"))), length))
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *fields("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string").fields])
     return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, schema)
