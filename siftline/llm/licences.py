@@ -10,8 +10,8 @@ the paragraph.
 After the lines, each template is looked for in every run of consecutive lines with words, whatever their ends; the
 same classifier judges the words that it spans alone, so wrapped notices and several families in a line are found.
 
-Every paragraph is judged. Features outside the training vocabulary have no weight, and a template of at least one bigram confirms, so
-a line with fewer than two words of the vocabulary cannot be confirmed and is passed over without computing its probabilities.
+Every paragraph is judged. The comparison comes first where it is cheap: a line in which no template has enough of its bigrams cannot be
+confirmed, and is passed over without computing its probabilities.
 
 Defined cases: null, empty and blank texts have no paragraphs and the family null. Rows that repeat get equal
 results, and a null ``doc_id`` is kept. An empty table has no rows. Extra columns are ignored.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,6 +159,19 @@ class Model:
         pairs = sorted((int(g), k) for k, (_, t) in enumerate(self.templates) for g in t.tolist())
         self.every, first = np.unique(np.array([g for g, _ in pairs], np.uint64), return_index=True)
         self.owners, self.starts = np.array([k for _, k in pairs], np.int64), np.append(first, len(pairs))
+        self.need = np.array([int(np.ceil(CONFIRM * len(t) - 1e-9)) for _, t in self.templates])
+
+    def confirmable(self, words: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Lines with enough bigrams of some template."""
+        grams, where = ngrams(words, line, 2)
+        at = np.minimum(np.searchsorted(self.every, grams), len(self.every) - 1)
+        hit = self.every[at] == grams
+        pair = np.unique(where[hit] * len(self.every) + at[hit])
+        own, gram = pair // len(self.every), pair % len(self.every)
+        size = np.diff(self.starts)[gram]
+        owner = self.owners[np.arange(size.sum()) + np.repeat(self.starts[gram] - np.concatenate([[0], np.cumsum(size)])[:-1], size)]
+        key, n = np.unique(np.repeat(own, size) * len(self.templates) + owner, return_counts=True)
+        return np.unique(key[n >= self.need[key % len(self.templates)]] // len(self.templates))
 
     def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -215,10 +229,8 @@ class Model:
         out: list[list[tuple[str, float, float]]] = [[] for _ in texts]
         for first, raw, offsets in batches(texts):
             words, line = _paragraph_words(raw)
-            _, hit = self.found(ngrams(words.hash, np.zeros_like(line), 1)[0])
             doc_of = np.searchsorted(offsets, words.start, side="right") - 1
-            known = np.bincount(line[hit], minlength=int(line[-1]) + 1 if len(line) else 0)
-            keep = known[line] >= 2 if len(line) else np.zeros(0, bool)
+            keep = np.isin(line, self.confirmable(words.hash, line)) if len(line) else np.zeros(0, bool)
             whole: set[tuple[int, int]] = set()  # line and class of the notices that one line holds
             spans = self.spans(words.hash, line, doc_of)
             if not keep.any() and not spans:
@@ -272,9 +284,16 @@ def train(ordinary: list[str], seed: int = SEED) -> Model:
     notices = [np.unique(_grams_of(t)[1]) for ts in ALL_TEMPLATES.values() for t in ts]
     plain = {line for text in ordinary for line in text.split("\n") if line.strip() and not re.search(r"(?i)licen[sc]e|rights reserved|\bCC\b", line)}
     plain = sorted(plain, key=lambda line: hashlib.blake2b(line.encode("utf-8", "surrogatepass"), salt=seed.to_bytes(8, "big")).digest())[:SAMPLE_PARAGRAPHS]
-    known = {int(g) for t in notices for g in t}
-    pairs = [_grams_of(line)[1] for line in plain]
-    notice = [any(g in known for g in own.tolist()) and max(np.isin(t, own).mean() for t in notices) >= CONFIRM for own in pairs]
+    owners: dict[int, list[int]] = {}
+    for k, t in enumerate(notices):
+        for g in t.tolist():
+            owners.setdefault(g, []).append(k)
+
+    def confirmed(line: str) -> bool:
+        hits = Counter(k for g in set(_grams_of(line)[1].tolist()) for k in owners.get(g, ()))
+        return any(n >= CONFIRM * len(notices[k]) for k, n in hits.items())
+
+    notice = [confirmed(line) for line in plain]
     plain = [line for line, n in zip(plain, notice, strict=True) if not n]  # what is a notice is no ordinary text
     full = {name: {*TEMPLATES.get(name, []), *NOTICES.get(name, [])} for name in CLASSES[1:]}
     rows = [(v, k) for k, name in enumerate(CLASSES[1:], 1) for t in ALL_TEMPLATES[name] for v in (_variants(t, rng) if t in full[name] else [t])]
