@@ -48,8 +48,9 @@ BUCKET_BYTES = 1 << 20
 #: Rows of the table for which the transform is built at a time, as far as single anchors allow.
 ROWS = 4096
 PAD = 0xFF  # no byte of UTF-8
-#: Different rows of an anchor that one task marks; an anchor with more is split.
-HOT_ROWS = 4096
+#: Different rows of an anchor that one task marks (51 MB of bytes, three times as much while they are marked); an anchor with more is split,
+#: which needs more disk: some 1.5 kB a row.
+HOT_ROWS = 1 << 16
 #: Strings of a row, by their first bytes, that are looked at together where an anchor is split.
 STEP = 16
 
