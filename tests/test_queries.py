@@ -84,3 +84,13 @@ def test_csv_round_trip_of_quotes_and_lines(spark, tmp_path):
     rows = [(1, "u", 'a "quote", a comma\nand a line'), (2, "v", ' <p class="x">\\</p>\r\n ')]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(tuple(r) for r in engine.QUERIES["csv_round_trip"](spark, str(tmp_path)).collect()) == rows
+
+
+def test_unit_vectors_keep_the_sign_of_zero(spark, tmp_path):
+    rows = [(0, [1.0, -3e-7, 3e-7, -0.0], 0), (1, [0.0, -0.0, 0.0, 0.0], 1), (2, [0.6, -0.8, 0.0078125, -1e-20], None), (3, None, 2), (4, [], 3), (5, [-1e-13, 1e30, -1e30, 5e-7], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = own.execute(engine.ORACLE_SQL["l2_normalise"]).fetchall()
+    got = [tuple(r) for r in engine.QUERIES["l2_normalise"](spark, str(tmp_path)).select("id", "unit").collect()]
+    assert "-0.0" in repr(want) and sorted(map(repr, got)) == sorted(map(repr, want))
