@@ -87,6 +87,44 @@ def test_density_labels():
     assert labels[0] >= 0 and labels[40] >= 0
 
 
+def test_density_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(0, 4, (30, 2)), rng.integers(0, 4, (30, 2)) + 20, np.full((12, 2), 50), rng.integers(-90, 90, (8, 2))]).astype(float)  # with copies and many equal distances
+    x = x[rng.permutation(len(x))]
+    want = clusters.density_labels(x, 5, 3)
+    assert len(set(want)) == 4 and want.min() == -1
+    assert all((clusters.density_labels(x, 5, 3, block=b) == want).all() for b in (1, 7, 33))
+    for _ in range(5):  # the order of rows is nothing but the numbers of the clusters
+        p = rng.permutation(len(x))
+        pairs = set(zip(want[p].tolist(), clusters.density_labels(x[p], 5, 3, block=16).tolist(), strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and (-1, -1) in pairs
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    for _ in range(2):  # blocks are sent to all tasks, then joined
+        got = clusters.density_cluster(df.repartition(3), 5, 3, block=33).orderBy("id").collect()
+        assert [r.cluster for r in got] == want.tolist() and [r.v for r in got] == x.tolist()
+        monkeypatch.setattr(clusters, "MODEL_BYTES", 0)
+    assert [r.cluster for r in clusters.density_cluster(df.limit(1), 5, 3).collect()] == [-1] and clusters.density_cluster(df.limit(0), 5, 3).count() == 0
+
+
+def test_spanning_edges_of_blocks():
+    x = np.random.default_rng(6).normal(size=(60, 3))
+    square = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(square, axis=1)[:, 4]
+    reach = np.maximum(square, np.maximum(core[:, None], core[None]))
+
+    def total(edges):
+        group, out = list(range(len(x))), 0.0
+        for w, a, b in sorted(edges):
+            if group[a] != group[b]:
+                out, group = out + w, [group[a] if g == group[b] else g for g in group]
+        assert len(set(group)) == 1
+        return out
+
+    blocks = [clusters._block_edges(i, j, x[i : i + 25], x[j : j + 25], core[i : i + 25], core[j : j + 25]) for i in range(0, 60, 25) for j in range(i, 60, 25)]
+    found = [e for a, b, w in blocks for e in zip(w.tolist(), a.tolist(), b.tolist(), strict=True)]
+    assert total(found) == pytest.approx(total([(reach[a, b], a, b) for a in range(60) for b in range(a)]))
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(20)], "id long, v array<double>")
