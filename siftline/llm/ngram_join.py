@@ -267,6 +267,17 @@ def _links(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     return durable(cells.filter(100 * F.col("both") >= least * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
+def _cells(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rarest columns of each class's representative, one row for each.
+
+    A cell knows how many of its row's shared columns are left from here on: r bounds the overlap of two rows whose first common column it is.
+    """
+    # Spark would filter on the size of the columns before it explodes them, and make them a second time for that, in a second worker for each task.
+    columns = _prefix.asNondeterministic()("shared", "k")
+    prefix = able.select("rid", "n", "s", columns.alias("columns")).join(classes.select(F.col("rep").alias("rid")), "rid")
+    return prefix.select("rid", "n", "s", F.posexplode("columns").alias("at", "column")).select("column", "rid", "n", (F.col("s") - F.col("at")).alias("r"), ((F.col("n") - F.col("s")) / F.col("n")).alias("own"))
+
+
 def ngram_components(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     rows = incidence(docs, n, least)
@@ -275,10 +286,7 @@ def ngram_components(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFra
     classes = durable(rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("first_doc")))
     classes = classes.select((F.col("n") + 0).alias("n"), (F.col("f1") + 0).alias("f1"), (F.col("f2") + 0).alias("f2"), "rep", "first_doc")
     able = rows.filter("shared is not null")
-    prefix = able.select("rid", "n", "s", _prefix("shared", "k").alias("columns")).join(classes.select(F.col("rep").alias("rid")), "rid")
-    # A cell knows how many of its row's shared columns are left from here on: r bounds the overlap of two rows whose first common column it is.
-    cells = prefix.select("rid", "n", "s", F.posexplode("columns").alias("at", "column")).select("column", "rid", "n", (F.col("s") - F.col("at")).alias("r"), ((F.col("n") - F.col("s")) / F.col("n")).alias("own"))
-    cells = durable(cells)
+    cells = durable(_cells(able, classes))
 
     # First with the column's most typical document only: the one with the least share of columns of its own.
     heads = durable(cells.groupBy("column").agg(F.min(F.struct("own", "rid", "n", "r")).alias("p"), F.count(F.lit(1)).alias("docs")).filter("docs > 1"))

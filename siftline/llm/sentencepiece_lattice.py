@@ -365,16 +365,24 @@ def common_units(docs: DataFrame, model: Model, sample_bytes: int = SAMPLE_BYTES
     return Common(hashes, starts, ids)
 
 
+def piece_table(spark: SparkSession, model: Model) -> DataFrame:
+    """(piece, id, score, merge) of the model's pieces."""
+    ids = np.array(list(model.ids.values()), np.int64)
+    scores = np.array([model.scores[k] for k in ids.tolist()], np.float64)
+    # A merge as one number, so that numbers are sorted in the order of merging: rank, start, end (7 bits each), id (25 bits).
+    merge = (np.unique(-scores, return_inverse=True)[1].astype(np.int64) << 39) + ids
+    # As an Arrow table the rows reach the JVM as they are; rows of pandas would go through Python workers of another pool on each executor.
+    rows = pa.table({"piece": pa.array(list(model.ids), pa.string()), "id": pa.array(ids.astype(np.int32)), "score": pa.array(scores), "merge": pa.array(merge)})
+    return spark.createDataFrame(rows)
+
+
 def encoded_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, ids) for distinct units: the lattice and its fold. BPE units without any edge are left out.
 
     ``units`` have at least ``model.shortest`` characters and should be partitioned by unit. Characters of a BPE lattice that are in no merge are ``CHARACTER`` plus their code point.
     """
     bpe = model.kind == BPE
-    rows = pd.DataFrame([(p, k, model.scores[k]) for p, k in model.ids.items()], columns=["piece", "id", "score"])
-    # A merge as one number, so that numbers are sorted in the order of merging: rank, start, end (7 bits each), id (25 bits).
-    rows["merge"] = (np.unique(-rows["score"], return_inverse=True)[1].astype(np.int64) << 39) + rows["id"]
-    table = units.sparkSession.createDataFrame(rows).withColumn("id", F.col("id").cast("int"))
+    table = piece_table(units.sparkSession, model)
     length = F.char_length("unit")
     ends = F.sequence(F.lit(model.shortest), F.least(F.lit(model.longest), length - F.col("s")))
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), length - model.shortest)).alias("s"))

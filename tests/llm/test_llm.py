@@ -155,6 +155,16 @@ def test_merges_of_spaces_and_long_units(model):
         assert got == library.encode(t), t
 
 
+def test_pieces_reach_the_join_without_python_workers(spark, model):
+    table = sentencepiece_lattice.piece_table(spark, model)
+    assert "PythonRDD" not in table._jdf.rdd().toDebugString()
+    rows = table.collect()
+    assert {(x.piece, x.id) for x in rows} == set(model.ids.items()) and len(rows) == len(model.ids)
+    assert all(x.score == model.scores[x.id] and x.merge & ((1 << 25) - 1) == x.id for x in rows)
+    assert [x.score for x in sorted(rows, key=lambda x: x.merge >> 39)] == sorted((x.score for x in rows), reverse=True)
+    assert dict(table.dtypes) == {"piece": "string", "id": "int", "score": "double", "merge": "bigint"}
+
+
 def test_viterbi_fold(spark, model):
     """The unigram fold against the plain algorithm, and against the library with the file's type changed in memory."""
     import sentencepiece
@@ -613,6 +623,13 @@ def test_join(spark, sf_dir, edge, empty):
     assert linked(empty) == []
 
 
+def test_join_makes_columns_once(spark, sf_dir):
+    rows = ngram_join.incidence(queries.table(spark, sf_dir, "documents"))
+    cells = ngram_join._cells(rows.filter("shared is not null"), rows.filter("n > 0").select(F.col("rid").alias("rep")))
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert cells.count() == rows.filter("shared is not null").agg(F.sum("k")).first()[0] > 0
+
+
 def test_join_of_many_documents_in_a_batch(spark):
     """More documents in one Arrow batch than a row block numbers."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
