@@ -2,14 +2,16 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import components, exact_dedup, licences, media, mixing, ngram_join, pii, quality, queries, sentencepiece_lattice, suffix_dedup, toxicity
+from siftline.llm import blocks, components, exact_dedup, licences, media, mixing, ngram_join, pii, quality, queries, sentencepiece_lattice, suffix_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -258,6 +260,31 @@ def test_repeats_of_hot_anchors(spark, edge, sf_dir, monkeypatch):
         assert removed(docs, length) == brute_removed(texts(docs), length)
 
 
+def test_anchors_spread_evenly_over_buckets():
+    """Anchors are smallest hashes; by their own first bits nearly all of them came to one bucket, that is, to one task's memory."""
+    text = "".join(np.random.default_rng(8).choice(list("abcdefgh é"), 100_000))
+    place, anchor, _ = suffix_dedup.anchors(np.frombuffer(text.encode(), np.uint8))
+    payload = next(blocks._pack(blocks.BLOCK_CHARS)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])))
+    n = len(place)
+    rows = pa.table({"block": np.zeros(n, np.int64), "doc": np.zeros(n, np.int32), "place": place, "anchor": anchor.view(np.int64), "own": np.ones(n, bool), "hot": np.zeros(n, bool)})
+    sizes = np.bincount(suffix_dedup._ship(400, 5)((0,), pa.Table.from_batches([payload]), rows)["bucket"].to_numpy(), minlength=32)
+    assert n > 400 and sizes.max() < 3 * n / 32
+
+
+def test_marking_needs_little_more_than_its_rows():
+    n, rng = 20_000, np.random.default_rng(9)
+    table = rng.integers(97, 123, (n, 784)).astype(np.uint8)
+    table[:, 200:650] = table[0, 200:650]
+    columns = {"anchor": np.full(n, 7), "block": np.zeros(n, np.int64), "doc": np.arange(n, dtype=np.int32), "place": np.full(n, 1000), "left": np.full(n, 384, np.int32), "own": np.ones(n, bool)}
+    rows = pa.Table.from_batches(pa.table({**columns, "bytes": pa.array([r.tobytes() for r in table], pa.binary())}).to_batches(1000))
+    tracemalloc.start()
+    marks = suffix_dedup._mark(400)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks.num_rows == n and max(marks["start"].to_pylist()) <= 816 and min(marks["stop"].to_pylist()) >= 1266
+    assert peak < 2.5 * table.nbytes  # the rows as a table, and either their sorted halves or their flags
+
+
 def test_repeats_edges(edge, empty):
     assert removed(edge, 40) == brute_removed(texts(edge), 40)
     assert removed(empty, 40) == []
